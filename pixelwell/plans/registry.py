@@ -1,4 +1,532 @@
-"""Registered queries and their DuckDB forms."""
+"""Registered queries and their DuckDB forms.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+There are no images among the tables, so an embedding of 64 floats in -1..1 stands in for an 8x8 grey image.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelwell.functions import numeric as N
+from pixelwell.functions import text as T
+from pixelwell.operators import cluster, geometry, hog, linalg, ml, pixels, stats
+from pixelwell.sources import sinks
+from pixelwell.streaming import frames
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function as the query of its name, with its DuckDB form."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def images(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda e: pixels.to_byte((e.cast("double") + 1) * 127.5)).alias("p"))
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+def long_form(df: DataFrame, p: str, width: int) -> DataFrame:
+    return df.select("vec_id", F.posexplode(p).alias("pos", "v")).select("vec_id", F.floor(F.col("pos") / width).cast("int").alias("r"), (F.col("pos") % width).cast("int").alias("c"), F.col("v").cast("int").alias("v"))
+
+
+#: The stand-in images in DuckDB, long and as lists.
+PX = "px as (select vec_id, ((i - 1) // 8)::int r, ((i - 1) % 8)::int c, cast(least(255, greatest(0, floor((embedding[i]::double + 1) * 127.5::double + 0.5::double))) as int) v from embeddings, range(1, 65) g(i))"
+
+
+# ------------------------------------------------------------------ statistics
+
+
+@query("select event_type, count(value) n, round(avg(value), 6) mean, round(var_pop(value), 6) variance, min(value) mn, max(value) mx from events group by 1")
+def stats_maker(spark, sf):
+    return stats.stats_maker(read(spark, sf, "events"), "value", "event_type").withColumns({"mean": r6(F.col("mean")), "variance": r6(F.col("variance"))})
+
+
+@query("select event_type, printf('%s: mu=%g: variance=%g: minVal=%g: maxVal=%g', event_type, avg(value), var_pop(value), min(value), max(value)) || chr(10) description from events group by 1")
+def stats_describe(spark, sf):
+    return stats.stats_describe(stats.stats_maker(read(spark, sf, "events"), "value", "event_type"), "event_type").select("event_type", "description")
+
+
+@query("select event_type, count(value) n, round(sum(value), 4) total, round(sum(value * value), 2) total_sq, min(value) mn, max(value) mx, round(coalesce(avg(value), 0), 6) mean, round(coalesce(var_pop(value), 0), 6) variance, round(coalesce(stddev_pop(value), 0), 6) sd from events group by 1")
+def stats_sampler(spark, sf):
+    out = stats.stats_sampler(read(spark, sf, "events"), "value", "event_type")
+    return out.withColumns({"total": F.round("total", 4), "total_sq": F.round("total_sq", 2), "mean": r6(F.col("mean")), "variance": r6(F.col("variance")), "sd": r6(F.col("sd"))})
+
+
+@query("with a as (select user_id, event_id, value, min(value) over (partition by user_id order by event_id rows between unbounded preceding and current row) rm from events) select user_id, min(value) mn, max_by(value, case when value > rm then event_id end) mx from a group by 1")
+def sampler_max_compat(spark, sf):
+    return stats.sampler_max_compat(read(spark, sf, "events"), "value", "event_id", "user_id")
+
+
+@query("select event_type, cast(least(9, floor(value / 50::double)) as int) bin, count(*) n from events where value between 0 and 500 group by 1, 2")
+def histogram_fixed(spark, sf):
+    return stats.histogram_fixed(read(spark, sf, "events"), "value", 10, 0, 500, "event_type")
+
+
+@query("with h as (select event_type, cast(least(9, floor(value / 60::double)) as int) bin, count(*) n from events where value between 0 and 600 group by 1, 2), k as (select distinct event_type from events), b as (select cast(range as int) bin from range(10)) select k.event_type, b.bin, coalesce(h.n, 0) n from k cross join b left join h on h.event_type = k.event_type and h.bin = b.bin")
+def histogram_dense(spark, sf):
+    return stats.histogram_dense(read(spark, sf, "events"), "value", 10, 0, 600, "event_type").select("event_type", F.posexplode("counts").alias("bin", "n"))
+
+
+@query("select event_type, round(sum(value), 4) w, cast(least(9, floor(value / 60::double)) as int) bin from events where value between 0 and 600 group by 1, 3")
+def histogram_weighted(spark, sf):
+    return stats.histogram_fixed(read(spark, sf, "events"), "value", 10, 0, 600, "event_type", weight="value").select("event_type", "bin", F.round("n", 4).alias("w"))
+
+
+@query("select bin, round((bin + 0.5::double) * 60::double, 6) center, count(*) n from (select cast(least(9, floor(value / 60::double)) as int) bin from events where value between 0 and 600) group by 1, 2")
+def histogram_rep(spark, sf):
+    return stats.histogram_fixed(read(spark, sf, "events"), "value", 10, 0, 600).select("bin", r6(stats.bin_center(F.col("bin"), 10, 0, 600)).alias("center"), "n")
+
+
+@query("""with h as (select event_type, cast(least(11, floor(value / 50::double)) as int) bin, count(*) n from events where value between 0 and 600 group by 1, 2), k as (select distinct event_type from events),
+d as (select k.event_type, b.bin, coalesce(h.n, 0) n from k cross join (select cast(range as int) bin from range(12)) b left join h on h.event_type = k.event_type and h.bin = b.bin)
+select event_type, string_agg(n::varchar, ',' order by bin) || ',' short, '[' || string_agg(',' || bin || ':' || bin * 50 || '<=' || n || '<' || (bin + 1) * 50 || ',  ' || case when bin > 0 and bin % 9 = 0 then chr(10) else '' end, '' order by bin) || ']' as full_ from d group by 1""")
+def histogram_describe(spark, sf):
+    d = stats.histogram_dense(read(spark, sf, "events"), "value", 12, 0, 600, "event_type")
+    return stats.histogram_describe(d, 12, 0, 600).select("event_type", "short", F.col("full").alias("full_"))
+
+
+@query("with r as (select min(value) lo, max(value) hi from events) select cast(least(99, floor((value - lo) / ((hi - lo) / 100))) as int) bin, count(*) n from events, r group by 1")
+def histogram_auto(spark, sf):
+    return stats.auto_histogram(read(spark, sf, "events"), "value", 100)
+
+
+@query("with h as (select event_type, cast(least(29, floor(value / 20::double)) as int) bin, count(*) n from events where value between 0 and 600 group by 1, 2) select event_type, bin, n, round(sum(n) over (partition by event_type order by bin)::double / sum(n) over (partition by event_type), 6) cp from h")
+def cum_pdf(spark, sf):
+    return stats.cum_pdf(stats.histogram_fixed(read(spark, sf, "events"), "value", 30, 0, 600, "event_type"), "event_type").withColumn("cp", r6(F.col("cp")))
+
+
+CDF = "b as (select l_returnflag f, cast(least(99, floor((l_quantity - 1) / 0.49::double)) as int) bin, count(*) n from lineitem group by 1, 2), c as (select f, bin, sum(n) over (partition by f order by bin)::double / sum(n) over (partition by f) cp, 1 + bin * 0.49::double edge from b), d as (select event_id, (event_id * 7919 % 10007) / 10007::double p from events where event_id < 500), x as (select d.event_id, p, c.f, min(edge) x from d join c on c.cp >= d.p group by 1, 2, 3)"
+
+
+def _drawn(spark, sf):
+    lines = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("f"), "l_quantity")
+    cdf = stats.cum_pdf(stats.histogram_fixed(lines, "l_quantity", 100, 1, 50, "f"), "f")
+    draws = read(spark, sf, "events").where("event_id < 500").select("event_id", ((F.col("event_id") * 7919 % 10007) / F.lit(10007.0)).alias("p"))
+    return stats.inverse_cdf(draws, "p", cdf, "f", 1.0, 0.49)
+
+
+@query(f"with {CDF} select event_id, f, round(x, 6) x from x")
+def inverse_cdf(spark, sf):
+    return _drawn(spark, sf).select("event_id", "f", r6(F.col("x")).alias("x"))
+
+
+@query(f"with {CDF}, w as (select a.event_id, case when (a.event_id * 104729 % 1000) / 1000::double < 0.5 then a.x else b.x end dim from x a join x b using (event_id) where a.f = 'A' and b.f = 'N') select event_id, round(dim, 6) dim, round(300 * dim / 50, 6) w, round(300 * dim / 50 / 2, 6) h from w")
+def mixture_draw(spark, sf):
+    x = _drawn(spark, sf).groupBy("event_id").pivot("f", ["A", "N"]).agg(F.first("x"))
+    dim = stats.mixture_draw((F.col("event_id") * 104729 % 1000) / F.lit(1000.0), F.col("A"), F.col("N"))
+    return x.select("event_id", dim.alias("d")).select("event_id", r6(F.col("d")).alias("dim"), r6(300 * F.col("d") / 50).alias("w"), r6(300 * F.col("d") / 50 / 2).alias("h"))
+
+
+# ------------------------------------------------------------------ pixels
+
+
+@query(f"with {PX} select vec_id, r, c, floor(pow(v / 255::double, 1 / 2.2::double) * 255 + 0.5::double)::int v from px")
+def gamma_correct(spark, sf):
+    return long_form(images(spark, sf).withColumn("p", pixels.gamma_correct(F.col("p"))), "p", 8)
+
+
+@query(f"with {PX}, h as (select vec_id, v, count(*) n from px group by 1, 2), c as (select *, sum(n) over (partition by vec_id order by v) cum, first_value(n) over (partition by vec_id order by v) n0, sum(n) over (partition by vec_id) tot from h) select vec_id, v, cast(case when tot = n0 then v else round((cum - n0) * 255::double / (tot - n0)) end as int) eqv from c")
+def equalize_hist(spark, sf):
+    return pixels.equalize(long_form(images(spark, sf), "p", 8), "vec_id", "v")
+
+
+@query(f"with {PX}, t as (select vec_id, r, max(case when c = 0 then v end) b, max(case when c = 1 then v end) g, max(case when c = 2 then v end) rr from px group by 1, 2) select vec_id, r, floor(b * 0.114::double + g * 0.587::double + rr * 0.299::double + 0.5::double)::int gray from t")
+def to_gray(spark, sf):
+    i = images(spark, sf).select("vec_id", "p", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("r"))
+    at = lambda k: F.get("p", F.col("r") * 8 + k)
+    return i.select("vec_id", "r", pixels.to_gray(at(0), at(1), at(2)).alias("gray"))
+
+
+@query(f"""with {PX}, t as (select vec_id, row, max(case when c = 0 then v end) b, max(case when c = 1 then v end) g, max(case when c = 2 then v end) r from (select vec_id, r as row, c, v from px) group by 1, 2),
+m as (select *, greatest(b, g, r) mx, greatest(b, g, r) - least(b, g, r) sp from t),
+h as (select vec_id, row, case when sp = 0 then 0::double when mx = r then 60 * (g - b)::double / sp when mx = g then 120 + 60 * (b - r)::double / sp else 240 + 60 * (r - g)::double / sp end h from m)
+select vec_id, row as r, (round_even(case when h < 0 then h + 360 else h end / 2, 0) % 180)::int hue from h""")
+def hue_image(spark, sf):
+    i = images(spark, sf).select("vec_id", "p", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("r"))
+    at = lambda k: F.get("p", F.col("r") * 8 + k)
+    return i.select("vec_id", "r", pixels.hue(at(0), at(1), at(2)).alias("hue"))
+
+
+@query(f"with {PX} select vec_id, (r - 2)::int r, (c - 3)::int c, v from px where r >= 2 and r < 6 and c >= 3")
+def crop(spark, sf):
+    return long_form(images(spark, sf).withColumn("p", pixels.crop(F.col("p"), 8, 3, 2, 9, 4, 8)), "p", 5)
+
+
+@query(f"""with {PX}, k as (select * from (values (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(o, w)),
+s as (select vec_id, o.r, o.c, a.w * b.w w, case when abs(o.r * 2 + a.o) > 7 then 14 - abs(o.r * 2 + a.o) else abs(o.r * 2 + a.o) end rr, case when abs(o.c * 2 + b.o) > 7 then 14 - abs(o.c * 2 + b.o) else abs(o.c * 2 + b.o) end cc
+  from (select distinct vec_id from px), (select x.range::int r, y.range::int c from range(4) x, range(4) y) o, k a, k b)
+select s.vec_id, s.r, s.c, floor((sum(s.w * px.v) + 128) / 256::double)::int v from s join px on px.vec_id = s.vec_id and px.r = s.rr and px.c = s.cc group by 1, 2, 3""")
+def pyr_down(spark, sf):
+    return long_form(images(spark, sf).withColumn("p", pixels.pyr_down(F.col("p"), 8, 8)), "p", 4)
+
+
+@query(f"with {PX} select vec_id, r, c, case when r < 3 and c < 4 then 255 - v else v end v from (select px.vec_id, px.r, px.c, px.v from px)")
+def overlay(spark, sf):
+    i = images(spark, sf)
+    top = pixels.crop(F.transform("p", lambda v: F.lit(255) - v), 8, 0, 0, 4, 3, 8)
+    return long_form(i.withColumn("p", pixels.overlay(F.col("p"), top, 8, 4, 3)), "p", 8)
+
+
+@query(f"with {PX} select vec_id, r, c, case when r < 5 and c < 6 then case when v >= 128 then 255 else 0 end else v end v from px")
+def mask_composite(spark, sf):
+    i = images(spark, sf)
+    return long_form(i.withColumn("p", pixels.paste_mask(F.col("p"), pixels.crop(F.col("p"), 8, 0, 0, 6, 5, 8), 8, 6, 5)), "p", 8)
+
+
+@query(f"with {PX} select vec_id, r, c, (v * v)::int v from px")
+def square(spark, sf):
+    return long_form(images(spark, sf).withColumn("p", pixels.square(F.col("p"))), "p", 8)
+
+
+@query()
+def resize_lanczos(spark, sf):
+    return long_form(pixels.resize_lanczos(images(spark, sf), "vec_id", "p", 8, 8, 16, 8), "p", 16)
+
+
+@query()
+def hough_circles(spark, sf):
+    return pixels.hough_circles(images(spark, sf), "vec_id", "p", 8, 8, (2, 3), 8.0, 12)
+
+
+# ------------------------------------------------------------------ gradients
+
+GRAD = "g as (select a.vec_id, a.r, a.c, (d.v - u.v) * 0.5::double gr, (e.v - l.v) * 0.5::double gc from px a join px u on u.vec_id = a.vec_id and u.r = a.r - 1 and u.c = a.c join px d on d.vec_id = a.vec_id and d.r = a.r + 1 and d.c = a.c join px l on l.vec_id = a.vec_id and l.r = a.r and l.c = a.c - 1 join px e on e.vec_id = a.vec_id and e.r = a.r and e.c = a.c + 1 where a.r % 4 in (1, 2) and a.c % 4 in (1, 2))"
+UNSIGNED = "case when gr = 0 then pi() / 2 when gc = 0 then case when gr > 0 then pi() else 0 end else atan(gr / gc) + pi() / 2 end"
+AM = f"am as (select vec_id, r, c, (r // 4 * 2 + c // 4)::int cell, {UNSIGNED} a, sqrt(gr * gr + gc * gc) m from g)"
+HIST = "t as (select *, a / (pi() / 9) - 0.5::double t from am), w as (select vec_id, cell, cast(greatest(0, least(8, floor(t))) as int) bin, m * (1 - (t - floor(t))) w from t union all select vec_id, cell, cast(greatest(0, least(8, floor(t) + 1)) as int), m * (t - floor(t)) from t), h as (select vec_id, cell, bin, sum(w) w from w group by 1, 2, 3)"
+NORM = "n as (select *, sqrt(sum(w * w) over (partition by vec_id)) nrm from h), b as (select vec_id, cell, bin, case when nrm < 1e-6 then w else w / nrm end w from n)"
+SMALL = hog.Scheme(8, 8, cell=4)
+
+
+def _grads(spark, sf):
+    return hog.gradients(images(spark, sf), "vec_id", "p", SMALL)
+
+
+def _hist(spark, sf):
+    return hog.angle_hist(hog.weighted(_grads(spark, sf), SMALL), ["vec_id", "cell"], 9)
+
+
+@query(f"with {PX}, {GRAD} select * from g")
+def gradient_field(spark, sf):
+    return _grads(spark, sf)
+
+
+@query(f"with {PX}, {GRAD} select vec_id, r, c, round(case when atan2(gr, gc) < 0 then atan2(gr, gc) + 2 * pi() else atan2(gr, gc) end, 6) a, round(sqrt(gr * gr + gc * gc), 6) m from g")
+def angle_signed(spark, sf):
+    return _grads(spark, sf).select("vec_id", "r", "c", r6(hog.angle_signed(F.col("gr"), F.col("gc"))).alias("a"), r6(F.hypot("gr", "gc")).alias("m"))
+
+
+@query(f"with {PX}, {GRAD} select vec_id, r, c, round({UNSIGNED}, 6) a from g")
+def angle_unsigned(spark, sf):
+    return _grads(spark, sf).select("vec_id", "r", "c", r6(hog.angle_unsigned(F.col("gr"), F.col("gc"))).alias("a"))
+
+
+@query(f"with {PX}, {GRAD}, {AM} select label, round(avg(a), 5) mean_a, round(var_pop(a), 5) var_a, round(min(a), 6) min_a, round(max(a), 6) max_a, round(avg(m), 5) mean_m, round(var_pop(m), 4) var_m, count(*) n from am join embeddings using (vec_id) group by 1")
+def gradient_stats(spark, sf):
+    rows = hog.weighted(hog.gradients(images(spark, sf).select(F.struct("vec_id", "label").alias("k"), "p"), "k", "p", SMALL), SMALL)
+    return rows.groupBy(F.col("k.label").alias("label")).agg(F.round(F.avg("a"), 5).alias("mean_a"), F.round(F.var_pop("a"), 5).alias("var_a"), r6(F.min("a")).alias("min_a"), r6(F.max("a")).alias("max_a"), F.round(F.avg("m"), 5).alias("mean_m"), F.round(F.var_pop("m"), 4).alias("var_m"), F.count("*").alias("n"))
+
+
+@query(f"with {PX}, {GRAD}, {AM}, {HIST} select vec_id, cell, bin, round(w, 5) w from h")
+def angle_hist(spark, sf):
+    return _hist(spark, sf).withColumn("w", F.round("w", 5))
+
+
+@query(f"with {PX}, {GRAD}, {AM}, {HIST}, {NORM} select vec_id, cell, bin, round(w, 6) w from b")
+def hog_blocks(spark, sf):
+    return hog.normalized(_hist(spark, sf), ["vec_id"]).select("vec_id", "cell", "bin", r6(F.col("w")).alias("w"))
+
+
+@query(f"with {PX}, {GRAD}, {AM}, {HIST}, {NORM} select vec_id, abs(sqrt(sum(w * w)) - 1) < 1e-6 valid from b group by 1")
+def hog_validate(spark, sf):
+    return hog.descriptors(images(spark, sf), "vec_id", "p", SMALL).select("vec_id", "valid")
+
+
+@query(f"with {PX}, {GRAD}, {AM}, {HIST}, {NORM} select v.vec_id, k.range::int i, round(coalesce(b.w, 0), 6) w from (select distinct vec_id from b) v cross join range(36) k left join b on b.vec_id = v.vec_id and b.cell * 9 + b.bin = k.range")
+def hog_descriptor(spark, sf):
+    return hog.descriptors(images(spark, sf), "vec_id", "p", SMALL).select("vec_id", F.posexplode("vec").alias("i", "w")).withColumn("w", r6(F.col("w")))
+
+
+@query()
+def hog_text(spark, sf):
+    d = hog.descriptors(images(spark, sf), "vec_id", "p", SMALL).select(F.concat(F.lit("img"), "vec_id").alias("filename"), "block", F.lit(1).alias("label"), "vec")
+    return sinks.descriptor_text(d)
+
+
+# ------------------------------------------------------------------ numbers and geometry
+
+
+@query("select event_id, least(200, greatest(50, value)) v from events")
+def clamp(spark, sf):
+    return read(spark, sf, "events").select("event_id", N.clamp(F.col("value"), F.lit(50.0), F.lit(200.0)).alias("v"))
+
+
+@query("select event_id, abs(value - round(value, 6)) < 1e-6 f, abs(value - round(value, 1)) < 1e-11 d, event_id % 3 = user_id % 3 i from events")
+def epsilon_eq(spark, sf):
+    v = F.col("value")
+    return read(spark, sf, "events").select("event_id", N.epsilon_eq(v, F.round(v, 6), "float").alias("f"), N.epsilon_eq(v, F.round(v, 1)).alias("d"), N.epsilon_eq(F.col("event_id") % 3, F.col("user_id") % 3, "int").alias("i"))
+
+
+@query("select event_id, round(value - 100)::bigint q from events")
+def quantize(spark, sf):
+    return read(spark, sf, "events").select("event_id", N.quantize(F.col("value") - 100).alias("q"))
+
+
+@query("select p_partkey, (p_size::bigint * p_size * p_size * p_size) p4 from part")
+def int_pow(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", N.int_pow(F.col("p_size"), 4).alias("p4"))
+
+
+PAIR = "from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"
+
+
+def _pairs(spark, sf):
+    e = read(spark, sf, "embeddings")
+    return e.select("vec_id", F.col("embedding").alias("x")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
+
+
+@query(f"select a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::double - b.embedding[i]::double, 2))), 6) d {PAIR}")
+def dist_sqrd(spark, sf):
+    return _pairs(spark, sf).select("vec_id", r6(N.dist_sqrd(F.col("x"), F.col("y"))).alias("d"))
+
+
+@query(f"select a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i]::double)), 6) d {PAIR}")
+def dot(spark, sf):
+    return _pairs(spark, sf).select("vec_id", r6(N.dot(F.col("x"), F.col("y"))).alias("d"))
+
+
+@query("select c_custkey, -c_acctbal ox, c_custkey::double oy, -c_acctbal nx, 2 * c_acctbal sx, 1::double one from customer")
+def vector_ops(spark, sf):
+    c, k = F.col("c_acctbal"), F.col("c_custkey").cast("double")
+    h = N.homogeneous(k, c)
+    v = read(spark, sf, "customer").select("c_custkey", N.orthogonal(k, c).alias("o"), N.negate(F.array(c)).alias("n"), N.scale(F.array(c), F.lit(2.0)).alias("s"), h.alias("h"))
+    return v.select("c_custkey", F.get("o", F.lit(0)).alias("ox"), F.get("o", F.lit(1)).alias("oy"), F.get("n", F.lit(0)).alias("nx"), F.get("s", F.lit(0)).alias("sx"), F.get("h", F.lit(2)).alias("one"))
+
+
+@query("select c_custkey, cast(-sign((c_nationkey + 1 - 0) * (c_acctbal - 0) - (c_custkey % 7 - 0) * (c_custkey % 11 - 0)) as int) o from customer")
+def orientation(spark, sf):
+    z = F.lit(0)
+    return read(spark, sf, "customer").select("c_custkey", N.orientation(z, z, F.col("c_nationkey") + 1, F.col("c_custkey") % 7, F.col("c_custkey") % 11, F.col("c_acctbal")).alias("o"))
+
+
+@query("select a.p_partkey a, b.p_partkey b, round((a.p_size - b.p_size) ** 2::double + pow(a.p_retailprice - b.p_retailprice, 2), 6) d2 from part a join part b on a.p_partkey < b.p_partkey where (a.p_size - b.p_size) ** 2::double + pow(a.p_retailprice - b.p_retailprice, 2) < 50")
+def near_points(spark, sf):
+    return geometry.near_points(read(spark, sf, "part"), "p_partkey", "p_size", "p_retailprice", 50.0).withColumn("d2", r6(F.col("d2")))
+
+
+POLY = "p as (select s_nationkey g, s_suppkey i, s_acctbal x, cast(s_suppkey as double) y from supplier), e as (select *, coalesce(lead(x) over w, first_value(x) over w) x2, coalesce(lead(y) over w, first_value(y) over w) y2 from p window w as (partition by g order by i))"
+
+
+def _curves(spark, sf):
+    return read(spark, sf, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x"), F.col("s_suppkey").cast("double").alias("y"))
+
+
+@query(f"with {POLY} select g, round(sum(x * y2 - x2 * y) / 2, 4) area, cast(sign(sum(x * y2 - x2 * y)) as int) direction, round(avg(x), 4) cx, round(avg(y), 4) cy from e group by 1")
+def polygon_area(spark, sf):
+    return geometry.polygon_area(_curves(spark, sf), "g", "i", "x", "y").withColumns({"area": F.round("area", 4), "cx": F.round("cx", 4), "cy": F.round("cy", 4)})
+
+
+@query(f"with {POLY} select g, sum(case when (y > 50) <> (y2 > 50) and x + (50 - y) * (x2 - x) / (y2 - y) > 1000 then 1 else 0 end) % 2 = 1 inside from e group by 1")
+def point_in_polygon(spark, sf):
+    return geometry.inside_polygon(_curves(spark, sf), "g", "i", "x", "y", 1000.0, 50.0)
+
+
+@query("with m as (select count(*)::double n, sum(l_quantity) sx, sum(l_quantity * l_quantity) sxx, sum(l_extendedprice) s1, sum(l_quantity * l_extendedprice) x1, sum(l_tax) s2, sum(l_quantity * l_tax) x2 from lineitem) select round((n * x1 - sx * s1) / (n * sxx - sx * sx), 3) b1, round((s1 * sxx - sx * x1) / (n * sxx - sx * sx), 2) a1, round((n * x2 - sx * s2) / (n * sxx - sx * sx), 8) b2, round((s2 * sxx - sx * x2) / (n * sxx - sx * sx), 6) a2 from m")
+def least_squares(spark, sf):
+    x = linalg.least_squares(read(spark, sf, "lineitem").withColumn("one", F.lit(1.0)), ["l_quantity", "one"], ["l_extendedprice", "l_tax"])
+    return spark.range(1).select(F.round(F.lit(float(x[0, 0])), 3).alias("b1"), F.round(F.lit(float(x[1, 0])), 2).alias("a1"), F.round(F.lit(float(x[0, 1])), 8).alias("b2"), F.round(F.lit(float(x[1, 1])), 6).alias("a2"))
+
+
+# ------------------------------------------------------------------ clusters and hashes
+
+LLOYD = "c0 as (select * from (values (0, 0::double), (1, 50::double), (2, 200::double)) t(k, x))" + "".join(
+    f", a{i} as (select v, k, e from (select value v, k, (value - x) * (value - x) e, row_number() over (partition by event_id order by (value - x) * (value - x), k) rn from events, c{i}) where rn = 1), c{i + 1} as (select k, avg(v) x from a{i} group by 1)" for i in range(3)
+)
+
+
+@query(f"with {LLOYD} select k, round(avg(v), 4) centre, count(*) n, round(sum(e), 2) sse from a2 group by 1")
+def kmeans_lloyd(spark, sf):
+    return cluster.kmeans_lloyd(read(spark, sf, "events"), "value", [0, 50, 200], 3).select("k", F.round("centre", 4).alias("centre"), "n", F.round("sse", 2).alias("sse"))
+
+
+@query()
+def kmeans_ml(spark, sf):
+    return cluster.kmeans_ml(read(spark, sf, "embeddings"), "embedding", 4).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("select event_id, round(pow(value - 100, 2), 6) e from events order by pow(value - 100, 2) desc, event_id limit 20")
+def worst_fit_topk(spark, sf):
+    return cluster.worst_fit(read(spark, sf, "events"), F.pow(F.col("value") - 100, F.lit(2)), "event_id", 20).withColumn("e", r6(F.col("e")))
+
+
+@query(f"with {PX} select vec_id, count(*) n, sum(v)::bigint total from px where (r - 3.5) ** 2 + (c - 3.5) ** 2 <= 9 group by 1")
+def disc_filter(spark, sf):
+    return cluster.disc(long_form(images(spark, sf), "p", 8), 3.5, 3.5, 3.0).groupBy("vec_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("with h as (select vec_id, label, floor((list_sum(list_transform(embedding, lambda e, i: e::double * sin(i * 1.0::double))) + 0.25) / 0.5)::int b from embeddings) select x.vec_id a, y.vec_id b from h x join h y on x.b = y.b and x.label = y.label and x.vec_id < y.vec_id")
+def lsh_bucket(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", "label", cluster.lsh_bucket("embedding", 64, 0.5, 0.25).alias("bucket"))
+    return cluster.lsh_pairs(e, "vec_id", "bucket", "label")
+
+
+@query()
+def lsh_similarity_join(spark, sf):
+    return cluster.lsh_similarity_join(read(spark, sf, "embeddings"), "vec_id", "embedding", 1.05)
+
+
+@query("""with pts as (select cast(s_suppkey % 10 as int) pid, cast(s_suppkey // 10 as int) img, s_acctbal / 100::double x, cast(s_nationkey as double) y from supplier where s_suppkey < 60),
+bas as (select a.img, a.pid i, b.pid j, a.x ox, a.y oy, b.x - a.x ux, b.y - a.y uy, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) n from pts a join pts b on a.img = b.img and a.pid <> b.pid),
+ky as (select b.img, b.i, b.j, cast(floor(((p.x - b.ox) * b.ux + (p.y - b.oy) * b.uy) / b.n / 0.25::double + 0.5::double) as int) ku, cast(floor(((p.y - b.oy) * b.ux - (p.x - b.ox) * b.uy) / b.n / 0.25::double + 0.5::double) as int) kv from bas b join pts p on p.img = b.img and p.pid <> b.i and p.pid <> b.j where b.n > 0),
+v as (select q.i qi, q.j qj, t.img timg, t.i ti, t.j tj, count(*) votes from ky q join ky t on q.ku = t.ku and q.kv = t.kv where q.img = 0 and t.img > 0 group by 1, 2, 3, 4, 5)
+select qi, qj, timg, ti, tj, votes from (select *, row_number() over (partition by qi, qj order by votes desc, timg, ti, tj) rn from v) z where rn = 1""")
+def geometric_hash_vote(spark, sf):
+    s = read(spark, sf, "supplier").where("s_suppkey < 60")
+    pts = s.select((F.col("s_suppkey") % 10).cast("int").alias("pid"), F.floor(F.col("s_suppkey") / 10).cast("int").alias("img"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return cluster.geometric_hash_votes(pts, 0, 0.25)
+
+
+# ------------------------------------------------------------------ learning
+
+
+@query("select event_id, round((value - avg(value) over ()) / stddev_samp(value) over (), 6) value from events")
+def center_scale(spark, sf):
+    e = read(spark, sf, "events").select("event_id", "value")
+    return ml.center_scale(e, e, ["value"]).withColumn("value", r6(F.col("value")))
+
+
+@query("select event_id, cast((event_id * 7919 + 42) % 10 as int) fold from events")
+def kfold_assign(spark, sf):
+    return read(spark, sf, "events").select("event_id", ml.fold_of(F.col("event_id")).alias("fold"))
+
+
+@query("select lang, round(avg(((n_chars >= 100)::int = quality)::int::double), 6) accuracy, count(*) n from documents join labels using (doc_id) group by 1")
+def accuracy(spark, sf):
+    rows = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
+    return rows.groupBy("lang").agg(r6(ml.accuracy((F.col("n_chars") >= 100).cast("int"), F.col("quality"))).alias("accuracy"), F.count("*").alias("n"))
+
+
+@query("select p_partkey, p_size, p_retailprice, null::varchar label from part")
+def select_align(spark, sf):
+    p = read(spark, sf, "part")
+    return ml.align(p, [*ml.numeric_columns(p), "label"], "label")
+
+
+@query()
+def rf_cv(spark, sf):
+    return ml.rf_cross_validated(read(spark, sf, "embeddings").where("vec_id < 500"), "vec_id", "embedding", "label", trees=5)
+
+
+@query()
+def gbt_ovr(spark, sf):
+    return ml.gbt_one_vs_rest(read(spark, sf, "embeddings").where("vec_id < 500 and label < 3"), "vec_id", "embedding", "label", rounds=2)
+
+
+# ------------------------------------------------------------------ texts and vectors
+
+LINE = "case when l_linenumber = 7 then '# ' else ' ' end || l_orderkey || ', ' || l_partkey || ' ,' || l_suppkey || ', ' || l_linenumber"
+
+
+def _line(*parts: Column) -> Column:
+    return F.concat(F.when(F.col("l_linenumber") == 7, "# ").otherwise(" "), *parts)
+
+
+@query(rf"with t as (select l_orderkey k, l_linenumber n, {LINE} s from lineitem) select k, n, regexp_extract(s, '^\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)', 1)::int l, regexp_extract(s, '^\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)', 2)::int t, regexp_extract(s, '^\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)', 3)::int w, regexp_extract(s, '^\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)', 4)::int h from t where not regexp_matches(s, '^\s*#')")
+def parse_annotation(spark, sf):
+    c = [F.col(x).cast("string") for x in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+    s = _line(c[0], F.lit(", "), c[1], F.lit(" ,"), c[2], F.lit(", "), c[3])
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), s.alias("s")).where(~T.is_comment(F.col("s")))
+    return rows.select("k", "n", T.parse_annotation(F.col("s")).alias("a")).select("k", "n", "a.*")
+
+
+@query(r"with t as (select l_orderkey k, l_linenumber n, case when l_linenumber = 7 then '# ' else ' ' end || l_quantity::int || ' , ' || (l_linenumber % 2 + 1) || ' junk' s from lineitem) select regexp_extract(s, '^\s*(\d+)\s*,\s*(\d+)', 2)::int lane, regexp_extract(s, '^\s*(\d+)\s*,\s*(\d+)', 1)::int size, count(*) n from t where not regexp_matches(s, '^\s*#') group by 1, 2")
+def parse_size_lane(spark, sf):
+    s = _line(F.col("l_quantity").cast("int").cast("string"), F.lit(" , "), (F.col("l_linenumber") % 2 + 1).cast("string"), F.lit(" junk"))
+    rows = read(spark, sf, "lineitem").select(s.alias("s")).where(~T.is_comment(F.col("s"))).select(T.parse_size_lane(F.col("s")).alias("x"))
+    return rows.groupBy("x.lane", "x.size").agg(F.count("*").alias("n"))
+
+
+@query("select page_id, lower(regexp_extract(url, '^(https?)://', 1)) scheme, regexp_extract(url, '://([^/?]+)', 1) host, regexp_extract(url, '([^/?]*)([?].*)?$', 1) leaf from pages")
+def path_parts(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.path_parts(F.col("url")).alias("x")).select("page_id", "x.*")
+
+
+@query("select page_id, 'png' kind, url from pages")
+def data_url(spark, sf):
+    u = read(spark, sf, "pages").select("page_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("url").cast("binary"))).alias("u"))
+    return u.select("page_id", T.data_url(F.col("u")).alias("x")).select("page_id", "x.kind", F.col("x.data").cast("string").alias("url"))
+
+
+@query("select vec_id, array_to_string(list_transform(embedding, lambda x: printf('%g', x::double)), ', ') s from embeddings")
+def serialize_vec(spark, sf):
+    return read(spark, sf, "embeddings").select("vec_id", T.serialize_vec("embedding").alias("s"))
+
+
+@query("select vec_id, i::int i, round(case when i = 3 then 9::double when i = 4 then 8::double else embedding[i]::double end, 6) x from embeddings, range(1, 65) g(i)")
+def vec_splice(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", T.vec_splice(F.transform("embedding", lambda x: x.cast("double")), F.array(F.lit(9.0), F.lit(8.0)), 2).alias("v"))
+    return e.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", (F.col("i") + 1).alias("i"), r6(F.col("x")).alias("x"))
+
+
+@query("select conv_id, turn, to_json({role: role, n: length(text)})::varchar j from conversations")
+def to_json(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", F.char_length("text").alias("n"))).alias("j"))
+
+
+# ------------------------------------------------------------------ frames
+
+ORDER = ["ts", "event_id"]
+
+
+@query("""with a as (select *, sum((event_type = 'purchase')::int) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) ep, (event_type = 'view' or event_type = 'click') f from events),
+b as (select *, sum(f::int) over (partition by user_id, ep order by ts, event_id rows between unbounded preceding and current row) k from a) select event_id, ep > 0 and f and k = 1 processed from b""")
+def gated_frames(spark, sf):
+    e = read(spark, sf, "events")
+    return frames.gated_frames(e, "user_id", ORDER, F.col("event_type") == "purchase", F.col("event_type").isin("view", "click")).select("event_id", "processed")
+
+
+@query("select event_id, last_value(case when event_type = 'purchase' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) v from events")
+def last_output_carry(spark, sf):
+    return read(spark, sf, "events").select("event_id", frames.last_output("user_id", ORDER, F.when(F.col("event_type") == "purchase", F.col("value"))).alias("v"))
+
+
+@query("select event_id, round(1e6::double / nullif(epoch_us(ts)::double - lag(epoch_us(ts)::double) over (partition by user_id order by ts, event_id), 0), 9) fr from events")
+def frame_rate(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.round(frames.frame_rate("user_id", ORDER, "ts"), 9).alias("fr"))
+
+
+def _stream(spark, sf):
+    """Events as a stream: the table's folder, of which only that table's file matches."""
+    schema = read(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query("select event_type, count(value) n, round(avg(value), 6) mean, round(var_pop(value), 5) variance, min(value) mn, max(value) mx from events group by 1")
+def stream_stats(spark, sf):
+    out = frames.run_to_memory(frames.stream_stats(_stream(spark, sf), "value", "event_type"), "stream_stats_out")
+    return out.withColumns({"mean": r6(F.col("mean")), "variance": F.round("variance", 5)})
+
+
+@query("select date_trunc('day', ts) d, count(value) n, round(avg(value), 6) mean from events group by 1")
+def stream_windows(spark, sf):
+    out = frames.run_to_memory(frames.windowed_stats(_stream(spark, sf), "ts", "value", "1 day", "1 day"), "stream_windows_out")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("d"), "n", r6(F.col("mean")).alias("mean"))

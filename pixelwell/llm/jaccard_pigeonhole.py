@@ -9,10 +9,8 @@ band from its number of documents: few large segments with deletions where chanc
 would cost more than the extra keys, many small ones elsewhere.  A set is indexed in its own band and, where a
 larger partner may lie there, in the next.
 
-Equal sets share a fingerprint and enter once (a class).  Keys meet in hash buckets as packed runs.  Candidate links
-of a key's classes are first tried from one class to the others; classes already connected need no further test;
-what remains unconnected within a key is tested pair by pair, so no link between components is lost.  Sets are
-compared exactly.
+Equal sets share a fingerprint and enter once (a class).  Keys meet in hash buckets as packed runs.  Classes that share
+keys are a family; within it all sets are compared exactly, as differences from what most of them hold.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; a text with fewer words
 than an n-gram is one n-gram; repeated rows and null ids are linked by their sets like any others (a component's id
@@ -39,7 +37,8 @@ SLICE_BYTES = 4 << 20
 MAX_BROADCAST_IDS = 500_000
 #: Cost of comparing a chance pair, in keys.
 PAIR_COST = 20.0
-STAR_ROUNDS = 4
+#: Classes of a family that meet in one task (two chunks at most).
+CHUNK = 1_000
 
 
 @dataclass(frozen=True)
@@ -278,63 +277,83 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return B.checkpointed(rows.mapInArrow(run, "fp long, n long, items binary").dropDuplicates(["fp"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    size = sets.select("fp", "n")
-    left, right = sets.toDF("a", "na", "ia"), sets.toDF("b", "nb", "ib")
-    close = pairs.join(size.toDF("a", "xa"), "a").join(size.toDF("b", "xb"), "b").where((whole * F.least("xa", "xb") >= part * F.greatest("xa", "xb"))).select("a", "b")
-    rows = close.join(right, "b").join(left, "a").select("a", "b", "ia", "ib")
+def linked_within(values: np.ndarray, sizes: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """For each set, the first set of its component; exact, without listing pairs.
 
-    def run(batches):
-        last, x = None, None
-        for batch in batches:
-            keep = []
-            a = batch.column("a").to_pylist()
-            for i, (ia, ib) in enumerate(zip(batch.column("ia"), batch.column("ib"), strict=True)):
-                if a[i] != last:
-                    last, x = a[i], B.unpack_sorted(ia.as_py())
-                y = B.unpack_sorted(ib.as_py())
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                if whole * both >= part * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return rows.mapInArrow(run, "a long, b long")
+    Sets are taken as differences from a common reference, the elements that most of them hold: with d the size of a
+    difference, two sets differ in d_x + d_y - 2 |both differences| elements, and only elements on which two sets
+    deviate from the reference together enter the matrix of shared deviations.
+    """
+    m = len(sizes)
+    who = np.repeat(np.arange(m), sizes)
+    distinct, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    core = 2 * times > m
+    held = np.bincount(who, weights=core[at], minlength=m)
+    apart = core.sum() - held + (sizes - held)
+    useful = np.where(core, m - times >= 2, times >= 2)
+    column = np.where(useful, np.cumsum(useful) - 1, -1)
+    shared = np.zeros((m, m), np.float32)
+    width, total = max(1, 4_000_000 // m), int(useful.sum())
+    own, col = who[useful[at]], column[at[useful[at]]]
+    is_core = core[useful]
+    by = np.argsort(col, kind="stable")
+    own, col = own[by], col[by]
+    for s in range(0, total, width):
+        e = min(total, s + width)
+        lo, hi = np.searchsorted(col, (s, e))
+        block = np.zeros((m, e - s), np.float32)
+        block[own[lo:hi], col[lo:hi] - s] = 1
+        block[:, is_core[s:e]] = 1 - block[:, is_core[s:e]]
+        shared += block @ block.T
+    both = (sizes[:, None] + sizes[None, :]).astype(np.float32)
+    common = (both - (apart[:, None] + apart[None, :]).astype(np.float32)) / 2 + shared
+    linked = whole * common >= part * (both - common)
+    np.fill_diagonal(linked, True)
+    label = np.arange(m)
+    while True:
+        low = np.where(linked, label[None, :], m).min(1)
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            return label
+        label = low
 
 
 def link_classes(docs: DataFrame, shared: DataFrame, width: int, part: int, whole: int) -> DataFrame:
-    """fp, label: the component of every class that is linked with another."""
+    """fp, label: the component of every class that is linked with another.
+
+    Classes that share keys, directly or through others, are a family.  Small families are compared whole, several to a
+    task; a family of more than ``CHUNK`` classes is cut into chunks, and each two chunks meet in a task of their
+    own.  A task returns no more links than it has classes.
+    """
     hits = B.checkpointed(shared.where("key is not null").select("key", "fp").distinct())
     reps = shared.where("key is null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     sets = _sets_of(docs, hits.select("fp").distinct().join(reps, "fp"), width)
-    empty = hits.select(F.col("key").alias("a"), F.col("fp").alias("b")).limit(0)
-    links, tried = empty, empty
-    labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        now = hits.withColumn("label", F.col("fp")) if labels is None else hits.join(labels, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
-        if labels is not None:
-            apart = now.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k")).where("k > 1")
-            now = B.checkpointed(now.join(apart.select("key"), "key", "left_semi"))
-            left = apart.agg(F.sum((F.col("c") * F.col("c") - F.col("q")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-            if not left["rows"]:
-                break
-        everything = labels is not None and (left["pairs"] <= 2 * left["rows"] or turn == STAR_ROUNDS)
-        if everything:
-            other = now.toDF("key", "fp2", "label2")
-            pairs = now.join(other, "key").where("fp < fp2 and label <> label2").select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
-        else:
-            centre = now.groupBy("key").agg(F.min_by(F.struct("fp", "label"), F.xxhash64("fp", F.lit(turn))).alias("c"))
-            pairs = now.join(centre, "key").where("label <> c.label").select(F.least("fp", "c.fp").alias("a"), F.greatest("fp", "c.fp").alias("b"))
-        pairs = pairs.distinct()
-        pairs = B.checkpointed(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs)
-        fresh = B.checkpointed(_verified(pairs, sets, part, whole))
-        tried = tried.unionAll(pairs)
-        links = links.unionAll(fresh)
-        labels = B.checkpointed(components(links).withColumnRenamed("node", "fp"))
-        if everything:
-            break
-    return labels
+    stars = hits.join(hits.groupBy("key").agg(F.min("fp").alias("b")), "key").select(F.col("fp").alias("a"), "b")
+    family = components(stars).withColumnRenamed("node", "fp")
+    members = B.checkpointed(hits.select("fp").distinct().join(family, "fp", "left").select("fp", F.coalesce("label", "fp").alias("family")))
+    tasks = max(1, -(-members.count() // CHUNK))
+    sized = members.join(members.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "family")
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks"))
+    sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    task = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("family"), F.lit(tasks))).otherwise(F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")))
+    rows = sized.select("fp", "family", task.alias("task")).join(sets.select("fp", "items"), "fp")
+
+    def compare(table: pa.Table) -> pa.Table:
+        fp, fam = table["fp"].to_numpy(), table["family"].to_numpy()
+        order = np.lexsort((fp, fam))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, s, e in B.runs(fam[order]):
+            pick = order[s:e]
+            if len(pick) > 1:
+                items = [B.unpack_sorted(table["items"][int(i)].as_py()) for i in pick]
+                label = linked_within(np.concatenate(items), np.array([len(x) for x in items]), part, whole)
+                moved = label != np.arange(len(pick))
+                a.append(fp[pick][moved])
+                b.append(fp[pick][label[moved]])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    links = rows.repartition(tasks, "task").groupBy("task").applyInArrow(compare, "a long, b long")
+    return B.checkpointed(components(links).withColumnRenamed("node", "fp"))
 
 
 def near_groups(docs: DataFrame, *, width: int = WIDTH, part: int = PART, whole: int = WHOLE) -> DataFrame:

@@ -48,9 +48,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def block_of(n: int):
+    """A row's block, by id and text, so that neither a repeated id nor a repeated text fills one."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+
+
 def into_blocks(df: DataFrame, n: int) -> DataFrame:
     """Deals rows into ``n`` hash blocks by id and text, one shuffle; later stages reuse that exchange."""
-    return df.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
+    return df.withColumn("block", block_of(n)).repartition(n, "block")
 
 
 def id_crc(col: str = "doc_id"):

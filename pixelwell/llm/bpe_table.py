@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelwell.llm.blocks import unsqueeze
 from pixelwell.llm.tokens import Splitter, read_spec
 from pixelwell.llm.word_table import per_distinct_word
 
@@ -49,7 +50,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, keep_ids: bool = False, ke
         decode, words, look = _decoder(split), split.words, found.__getitem__
         n, ids_of, digest, back, texts = [], [], [], [], []
         for text in table["text"]:
-            raw = b"".join(map(look, words(text.as_py())))
+            raw = b"".join(map(look, words(unsqueeze(text.as_py()).decode())))
             ids = np.frombuffer(raw, "<u4")
             decoded = decode(ids.tolist())
             n.append(len(ids))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pixelwell.llm.blocks import unsqueeze
 from pixelwell.llm.tokens import Splitter, read_spec
 from pixelwell.llm.word_table import per_distinct_word
 
@@ -30,8 +31,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512) -> DataFr
         pieces = {w: int.from_bytes(x, "little") for w, x in found.items()}
         n, size = [], []
         for text in table["text"]:
-            t = text.as_py()
-            size.append(len(t.encode()))
+            raw = unsqueeze(text.as_py())
+            t = raw.decode()
+            size.append(len(raw))
             n.append(sum(times * pieces[w] for w, times in Counter(split.words(t)).items()))
         return pa.table([table["doc_id"], pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

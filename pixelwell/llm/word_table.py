@@ -22,12 +22,20 @@ def per_distinct_word(docs: DataFrame, spec: str, work: Callable, finish: Callab
     block, works once on each, and returns word and answer; ``found`` maps words to answers.
     """
     n = B.block_count(docs)
-    rows = B.into_blocks(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), n)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("block"), pa.array([B.squeeze(x.as_py().encode()) for x in b.column("text")], pa.binary())], ["doc_id", "block", "text"])
+
+    # Texts travel compressed, once; both uses below read that one exchange.
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("block", B.block_of(n))
+    rows = plain.mapInArrow(pack, f"doc_id {kind}, block int, text binary").repartition(n, "block")
 
     def send(table: pa.Table) -> pa.Table:
         split, seen = Splitter(spec).words, set()
         for text in table["text"]:
-            seen.update(split(text.as_py()))
+            seen.update(split(B.unsqueeze(text.as_py()).decode()))
         by: dict[int, list[bytes]] = {}
         for word in map(str.encode, seen):
             by.setdefault(xxhash.xxh3_64_intdigest(word) % n, []).append(word)

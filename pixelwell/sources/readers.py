@@ -55,7 +55,7 @@ def channel(data: Column, pixels: Column, channels: int, k: int) -> Column:
 
 def read_annotations(spark: SparkSession, root: str) -> DataFrame:
     """stem and the first matching ``left, top, width, height`` line of every text below root."""
-    lines = spark.read.option("wholetext", "true").text(root).select(stem(F.input_file_name()).alias("stem"), F.posexplode(F.split("value", "\n")).alias("no", "line"))
+    lines = spark.read.text(root, wholetext=True).select(stem(F.input_file_name()).alias("stem"), F.posexplode(F.split("value", "\n")).alias("no", "line"))
     got = lines.where(~is_comment(F.col("line"))).withColumn("a", parse_annotation(F.col("line"))).where("a.l is not null and a.h is not null")
     return got.groupBy("stem").agg(F.min_by("a", "no").alias("a")).select("stem", "a.*")
 

@@ -277,9 +277,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return B.checkpointed(rows.mapInArrow(run, "fp long, n long, items binary").dropDuplicates(["fp"]))
 
 
-def linked_within(values: np.ndarray, sizes: np.ndarray, part: int, whole: int) -> np.ndarray:
+def linked_within(values: np.ndarray, sizes: np.ndarray, full: np.ndarray, part: int, whole: int) -> np.ndarray:
     """For each set, the first set of its component; exact, without listing pairs.
 
+    ``values`` and ``sizes``: the sets, or their differences from one set common to all; ``full``: the sets' own sizes.
+
     Sets are taken as differences from a common reference, the elements that most of them hold: with d the size of a
     difference, two sets differ in d_x + d_y - 2 |both differences| elements, and only elements on which two sets
     deviate from the reference together enter the matrix of shared deviations.
@@ -305,7 +307,7 @@ def linked_within(values: np.ndarray, sizes: np.ndarray, part: int, whole: int)
         block[own[lo:hi], col[lo:hi] - s] = 1
         block[:, is_core[s:e]] = 1 - block[:, is_core[s:e]]
         shared += block @ block.T
-    both = (sizes[:, None] + sizes[None, :]).astype(np.float32)
+    both = (full[:, None] + full[None, :]).astype(np.float32)
     common = (both - (apart[:, None] + apart[None, :]).astype(np.float32)) / 2 + shared
     linked = whole * common >= part * (both - common)
     np.fill_diagonal(linked, True)
@@ -333,10 +335,20 @@ def link_classes(docs: DataFrame, shared: DataFrame, width: int, part: int, whol
     members = B.checkpointed(hits.select("fp").distinct().join(family, "fp", "left").select("fp", F.coalesce("label", "fp").alias("family")))
     tasks = max(1, -(-members.count() // CHUNK))
     sized = members.join(members.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "family")
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks"))
-    sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    task = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("family"), F.lit(tasks))).otherwise(F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")))
-    rows = sized.select("fp", "family", task.alias("task")).join(sets.select("fp", "items"), "fp")
+    held = sized.join(sets, "fp")
+    small = held.where("chunks = 1").select("family", "fp", "n", "items", F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("task"))
+    # Members of large families travel as their differences from the family's first class, which are small.
+    large = held.where("chunks > 1").join(sets.select(F.col("fp").alias("family"), F.col("items").alias("first")), "family")
+
+    def differ(batches):
+        for batch in batches:
+            out = [B.pack_sorted(np.setxor1d(B.unpack_sorted(x.as_py()), B.unpack_sorted(y.as_py()), assume_unique=True)) for x, y in zip(batch.column("items"), batch.column("first"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "fp", "n", "chunks")), pa.array(out, pa.binary())], ["family", "fp", "n", "chunks", "items"])
+
+    large = large.select("family", "fp", "n", "chunks", "items", "first").mapInArrow(differ, "family long, fp long, n long, chunks long, items binary")
+    large = large.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("own <> other")
+    large = large.select("family", "fp", "n", "items", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+    rows = small.unionAll(large)
 
     def compare(table: pa.Table) -> pa.Table:
         fp, fam = table["fp"].to_numpy(), table["family"].to_numpy()
@@ -346,7 +358,7 @@ def link_classes(docs: DataFrame, shared: DataFrame, width: int, part: int, whol
             pick = order[s:e]
             if len(pick) > 1:
                 items = [B.unpack_sorted(table["items"][int(i)].as_py()) for i in pick]
-                label = linked_within(np.concatenate(items), np.array([len(x) for x in items]), part, whole)
+                label = linked_within(np.concatenate(items), np.array([len(x) for x in items]), table["n"].to_numpy()[pick], part, whole)
                 moved = label != np.arange(len(pick))
                 a.append(fp[pick][moved])
                 b.append(fp[pick][label[moved]])

@@ -109,8 +109,8 @@ class Shingler:
             new = np.ones(len(values), bool)
             new[1:] = values[1:] != values[:-1]
             new[cuts[:-1][grams > 0]] = True
-            sizes = np.add.reduceat(new.astype(np.int64), np.minimum(cuts[:-1], len(values) - 1))
-            grams, values = np.where(grams > 0, sizes, 0), values[new]
+            owner = np.repeat(np.arange(len(grams)), grams)
+            grams, values = np.bincount(owner[new], minlength=len(grams)), values[new]
         return values, grams
 
     @staticmethod

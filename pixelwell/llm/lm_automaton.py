@@ -145,6 +145,9 @@ def score_texts(docs: DataFrame, held_out: Column, *, order: int = ORDER, beta:
         return pa.table([pa.array([int(total.sum())], pa.int64()), pa.array([int((total > 0).sum())], pa.int64())], ["n", "v"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):  # a block without documents still gets the corpus sizes
+            kinds = (left.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            return pa.table([pa.array([], k) for k in kinds], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         seq, length = _tokens(left, B.WordHasher())
         grams = _grams(seq, order)
         meta = next((x for x in right.select(["k", "n", "v"]).to_pylist() if x["k"] == -1), {"n": 0, "v": 0})

@@ -95,6 +95,18 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack_ints(blob, np.uint64), dtype=np.uint64)
 
 
+def pack_coded(a: np.ndarray) -> bytes:
+    """uint64 with repeats: the distinct values, ascending, and their numbers."""
+    values, number = np.unique(a, return_inverse=True)
+    known = pack_sorted(values)
+    return np.uint32(len(known)).tobytes() + known + pack_ints(number.astype(np.uint32))
+
+
+def unpack_coded(blob: bytes) -> np.ndarray:
+    end = 4 + int(np.frombuffer(blob, np.uint32, 1)[0])
+    return unpack_sorted(blob[4:end])[unpack_ints(blob[end:], np.uint32)]
+
+
 def pack_strings(words: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, words), np.uint32, len(words))
     return squeeze(np.uint32(len(words)).tobytes() + lens.tobytes() + b"".join(words))

@@ -2,12 +2,15 @@
 
 A text's set holds the 64-bit hashes of its distinct word n-grams.  If two sets reach the threshold, they differ in
 at most H elements, H set by the larger size.  Per size band the universe of hashes is cut into m segments; with
-budgets of 1 (equal content) or 2 (content equal up to one deletion on either side) that add up to H + 1, some
-segment of every such pair meets its budget.  So each set is indexed under the contents of its segments, and
-under one-deletion neighbours of the segments with budget 2.  How the budget is allotted is decided for each
-band from its number of documents: few large segments with deletions where chance matches of small (empty) segments
-would cost more than the extra keys, many small ones elsewhere.  A set is indexed in its own band and, where a
-larger partner may lie there, in the next.
+budgets of 1 (equal content) or 2 (content equal up to one deletion on either side) that add up to H + 1 + s, the
+segments of every such pair that meet their budget have budgets of at least s + 1.  So each set is indexed under the
+contents of its segments, and under one-deletion neighbours of the segments with budget 2.
+
+Empty contents would meet by chance.  A set whose segments that can meet in an empty content (empty ones; with budget 2
+also those of one element) have budgets of at most s in all meets each of its partners in another segment too, so it
+leaves its empty contents out.  Only sets with more (sparse sets) index them, and two such sets meet there as before.
+Segments, deletions and s are allotted for each band from its number of documents by the cost of keys and of chance
+matches.  A set is indexed in its own band and, where a larger partner may lie there, in the next.
 
 Equal sets share a fingerprint and enter once (a class).  Keys meet in hash buckets as packed runs.  Classes that share
 keys are a family; within it all sets are compared exactly, as differences from what most of them hold.
@@ -47,19 +50,28 @@ class Band:
     high: int
     segments: int
     deletions: int  # the first so many segments have budget 2
+    spare: int = 0  # budgets beyond H + 1
 
 
-def allot(low: int, high: int, docs: float, part: int, whole: int) -> tuple[int, int]:
-    """Segments and how many of them have budget 2, by least cost over some allotments that add up to H + 1."""
+def allot(low: int, high: int, docs: float, part: int, whole: int) -> tuple[int, int, int]:
+    """Segments, how many of them have budget 2, and the spare budget, by least cost over some allotments."""
     need = 2 * high * (whole - part) // (whole + part) + 1
-    best = (math.inf, need, 0)
-    for d in sorted({0, need // 8, need // 4, 3 * need // 8, need // 2}):
-        m = need - d
-        x = low / m
-        chance = m * (docs * math.exp(-x)) ** 2 / 2 + d * (docs * math.exp(-x) * (1 + x)) ** 2 / 2
-        cost = docs * (m + d * x) + PAIR_COST * chance
-        best = min(best, (cost, m, d))
-    return best[1], best[2]
+    best = (math.inf, need, 0, 0)
+    sizes = (max(1.0, low * part / whole), low, math.sqrt(low * high), high)
+    for spare in sorted({math.ceil(need * k / 40) for k in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24)}):
+        total = need + spare
+        for d in sorted({0, total // 8, total // 4, 3 * total // 8, total // 2}):
+            m, cost = total - d, 0.0
+            for n in sizes:
+                x = n / m
+                empty, light = math.exp(-x), math.exp(-x) * (1 + x)
+                mean, var = (m - d) * empty + 2 * d * light, (m - d) * empty + 4 * d * light
+                sparse = 0.5 * math.erfc((spare + 0.5 - mean) / math.sqrt(2 * var)) if var else 0.0
+                met = docs * sparse
+                chance = ((m - d) * (met * empty) ** 2 + d * (met * light) ** 2) / 2
+                cost += docs * (m * (1 - empty) + d * x) + PAIR_COST * chance
+            best = min(best, (cost, m, d, spare))
+    return best[1:]
 
 
 def make_bands(largest: int, docs_of_size, part: int, whole: int) -> list[Band]:
@@ -129,7 +141,7 @@ def _sums(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def index_keys(values: np.ndarray, sizes: np.ndarray, bands: list[Band], part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all sets, and the set each belongs to."""
     lows = np.array([b.low for b in bands])
-    m_of, d_of = np.array([b.segments for b in bands]), np.array([b.deletions for b in bands])
+    m_of, d_of, s_of = (np.array([getattr(b, name) for b in bands]) for name in ("segments", "deletions", "spare"))
     own = np.searchsorted(lows, sizes, "right") - 1
     keys, owners = [], []
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -149,12 +161,17 @@ def index_keys(values: np.ndarray, sizes: np.ndarray, bands: list[Band], part: i
         d, v, c = doc[use], values[use], content[use]
         segment = ((B.mix64(v + band[d].astype(np.uint64)) >> np.uint64(32)) * m[d].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         where = first[d] + segment
-        held = _sums(c, where, total)
+        held, count = _sums(c, where, total), np.bincount(where, minlength=total)
         who = np.repeat(np.arange(len(sizes)), m)
-        place = B.mix64(band[who].astype(np.uint64) << np.uint64(32) | (np.arange(total) - first[who]).astype(np.uint64))
-        keys.append(B.mix64(held + place))
-        owners.append(who)
-        drop = segment < d_of[band[d]]
+        nth = np.arange(total) - first[who]
+        place = B.mix64(band[who].astype(np.uint64) << np.uint64(32) | nth.astype(np.uint64))
+        double = nth < d_of[band[who]]
+        light = np.where(double, 2 * (count <= 1), count == 0)
+        sparse = np.bincount(who, weights=light, minlength=len(sizes)) > s_of[band]
+        keep = (count > 0) | sparse[who]
+        keys.append(B.mix64(held + place)[keep])
+        owners.append(who[keep])
+        drop = double[where] & ((count[where] > 1) | sparse[d])
         if drop.any():
             keys.append(B.mix64(held[where[drop]] - c[drop] + place[where[drop]]))
             owners.append(d[drop])
@@ -208,7 +225,7 @@ def shared_keys(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame
                 keys, owner = index_keys(values[np.repeat(lead, sizes)], np.where(lead, sizes, 0), bands, part, whole)
                 order = np.argsort(keys)
                 keys, owner = keys[order], owner[order]
-                rows = [(k, B.pack_sorted(keys[s:e]), B.pack_ints(prints[owner[s:e]])) for k, s, e in B.runs(B.bucket_of(keys, n_buckets))]
+                rows = [(k, B.pack_sorted(keys[s:e]), B.pack_coded(prints[owner[s:e]])) for k, s, e in B.runs(B.bucket_of(keys, n_buckets))]
                 n, m = b - a, len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -229,7 +246,7 @@ def shared_keys(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame
         if not len(packed):
             return plain
         keys = np.concatenate([B.unpack_sorted(x.as_py()) for x in packed["keys"]])
-        prints = np.concatenate([B.unpack_ints(x.as_py(), np.uint64) for x in packed["prints"]])
+        prints = np.concatenate([B.unpack_coded(x.as_py()) for x in packed["prints"]])
         order = np.argsort(keys, kind="stable")
         keys, prints = keys[order], prints[order]
         same = keys[1:] == keys[:-1]

@@ -12,6 +12,9 @@ leaves its empty contents out.  Only sets with more (sparse sets) index them, an
 Segments, deletions and s are allotted for each band from its number of documents by the cost of keys and of chance
 matches.  A set is indexed in its own band and, where a larger partner may lie there, in the next.
 
+The spare budget filters by count: a set with a partner shares with it at least s + 1 less its own light budgets (half
+as many with deletions) of a band's keys.  Sets that share fewer keys with all others together have no partner.
+
 Equal sets share a fingerprint and enter once (a class).  Keys meet in hash buckets as packed runs.  Classes that share
 keys are a family; within it all sets are compared exactly, as differences from what most of them hold.
 
@@ -58,7 +61,7 @@ def allot(low: int, high: int, docs: float, part: int, whole: int) -> tuple[int,
     need = 2 * high * (whole - part) // (whole + part) + 1
     best = (math.inf, need, 0, 0)
     sizes = (max(1.0, low * part / whole), low, math.sqrt(low * high), high)
-    for spare in sorted({math.ceil(need * k / 40) for k in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24)}):
+    for spare in sorted({math.ceil(need * k / 40) for k in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24) if k >= 4 or need < 8}):
         total = need + spare
         for d in sorted({0, total // 8, total // 4, 3 * total // 8, total // 2}):
             m, cost = total - d, 0.0
@@ -138,12 +141,15 @@ def _sums(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
 
 
-def index_keys(values: np.ndarray, sizes: np.ndarray, bands: list[Band], part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all sets, and the set each belongs to."""
+def index_keys(values: np.ndarray, sizes: np.ndarray, bands: list[Band], part: int, whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all sets, the set each belongs to, and how many keys of an even and of an odd band a set shares with any partner there.
+
+    The last bit of a key is its band's, so it tells a set's own band from the next.
+    """
     lows = np.array([b.low for b in bands])
     m_of, d_of, s_of = (np.array([getattr(b, name) for b in bands]) for name in ("segments", "deletions", "spare"))
     own = np.searchsorted(lows, sizes, "right") - 1
-    keys, owners = [], []
+    keys, owners, needs = [], [], np.ones((2, len(sizes)), np.int32)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     content = B.mix64(values + np.uint64(1234567))
     for step in (0, 1):
@@ -167,15 +173,18 @@ def index_keys(values: np.ndarray, sizes: np.ndarray, bands: list[Band], part: i
         place = B.mix64(band[who].astype(np.uint64) << np.uint64(32) | nth.astype(np.uint64))
         double = nth < d_of[band[who]]
         light = np.where(double, 2 * (count <= 1), count == 0)
-        sparse = np.bincount(who, weights=light, minlength=len(sizes)) > s_of[band]
+        over = s_of[band] - np.bincount(who, weights=light, minlength=len(sizes)).astype(np.int64)
+        sparse, odd = over < 0, (band & 1).astype(np.uint64)
+        shares = np.where(sparse, 1, (over + 1 + (d_of[band] > 0)) // (1 + (d_of[band] > 0)))
+        needs[band[ok] & 1, np.flatnonzero(ok)] = shares[ok]
         keep = (count > 0) | sparse[who]
-        keys.append(B.mix64(held + place)[keep])
+        keys.append((B.mix64(held + place) & ~np.uint64(1) | odd[who])[keep])
         owners.append(who[keep])
         drop = double[where] & ((count[where] > 1) | sparse[d])
         if drop.any():
-            keys.append(B.mix64(held[where[drop]] - c[drop] + place[where[drop]]))
+            keys.append(B.mix64(held[where[drop]] - c[drop] + place[where[drop]]) & ~np.uint64(1) | odd[d[drop]])
             owners.append(d[drop])
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (np.concatenate(keys), np.concatenate(owners), needs) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64), needs)
 
 
 def _slices(offsets: np.ndarray):
@@ -202,9 +211,10 @@ def _bands_for(docs: DataFrame, part: int, whole: int) -> list[Band]:
 
 
 def shared_keys(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
-    """Checkpointed rows of two kinds: doc_id, fp, n (key null) for every document; key, fp for classes that share a key.
+    """Checkpointed rows of two kinds: doc_id, fp, n (key null) for every document; key, fp, odd, keys for classes that share keys.
 
-    Keys with the same classes are one: here ``key`` identifies the set of classes.
+    Keys of even or of odd bands with the same classes are one: ``key`` identifies the set of classes, ``keys`` counts them.
+    ``even_need`` and ``odd_need`` (class rows) are the shared keys without which a set has no partner in the band.
     """
     bands = _bands_for(docs, part, whole)
     n_buckets = B.block_count(docs)
@@ -222,7 +232,7 @@ def shared_keys(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame
                 _, first = np.unique(prints, return_index=True)
                 lead = np.zeros(len(prints), bool)
                 lead[first] = True
-                keys, owner = index_keys(values[np.repeat(lead, sizes)], np.where(lead, sizes, 0), bands, part, whole)
+                keys, owner, needs = index_keys(values[np.repeat(lead, sizes)], np.where(lead, sizes, 0), bands, part, whole)
                 order = np.argsort(keys)
                 keys, owner = keys[order], owner[order]
                 rows = [(k, B.pack_sorted(keys[s:e]), B.pack_coded(prints[owner[s:e]])) for k, s, e in B.runs(B.bucket_of(keys, n_buckets))]
@@ -233,16 +243,17 @@ def shared_keys(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame
                         pa.concat_arrays([ids.slice(a, n), pa.nulls(m, ids.type)]),
                         pa.concat_arrays([pa.array(prints.view(np.int64)), pa.nulls(m, pa.int64())]),
                         pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(m, pa.int64())]),
+                        *(pa.concat_arrays([pa.array(x, pa.int32()), pa.nulls(m, pa.int32())]) for x in needs),
                         pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([r[1] for r in rows], pa.binary())]),
                         pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([r[2] for r in rows], pa.binary())]),
                     ],
-                    ["bucket", "doc_id", "fp", "n", "keys", "prints"],
+                    ["bucket", "doc_id", "fp", "n", "even_need", "odd_need", "keys", "prints"],
                 )
 
     def meet(table: pa.Table) -> pa.Table:
         packed = table.filter(pa.compute.is_valid(table["keys"]))
-        plain = table.filter(pa.compute.is_null(table["keys"])).select(["doc_id", "fp", "n"])
-        plain = plain.append_column("key", pa.nulls(len(plain), pa.int64()))
+        plain = table.filter(pa.compute.is_null(table["keys"])).select(["doc_id", "fp", "n", "even_need", "odd_need"])
+        plain = plain.append_column("key", pa.nulls(len(plain), pa.int64())).append_column("odd", pa.nulls(len(plain), pa.int32())).append_column("keys", pa.nulls(len(plain), pa.int64()))
         if not len(packed):
             return plain
         keys = np.concatenate([B.unpack_sorted(x.as_py()) for x in packed["keys"]])
@@ -259,16 +270,35 @@ def shared_keys(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame
         if len(keys):
             group = np.cumsum(np.concatenate(([0], (keys[1:] != keys[:-1]).astype(np.int64))))
             many = np.bincount(group)[group] > 1
-            group, prints = group[many], prints[many]
+            group, prints, odd = group[many], prints[many], (keys[many] & np.uint64(1))
         if len(keys) and len(prints):
-            ident = _sums(B.mix64(prints + np.uint64(5)), group, int(group.max()) + 1)[group]
-            pairs = np.unique(np.stack((ident, prints), 1), axis=0)
-            hits = pa.table([pa.nulls(len(pairs), plain["doc_id"].type), pa.array(pairs[:, 1].copy().view(np.int64)), pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy().view(np.int64))], ["doc_id", "fp", "n", "key"])
+            ident = _sums(B.mix64(prints + np.uint64(5) + odd), group, int(group.max()) + 1)[group]
+            order = np.lexsort((odd, prints, ident))
+            ident, prints, odd = ident[order], prints[order], odd[order]
+            first = np.flatnonzero(np.concatenate(([True], (ident[1:] != ident[:-1]) | (prints[1:] != prints[:-1]) | (odd[1:] != odd[:-1]))))
+            m = len(first)
+            hits = {"fp": pa.array(prints[first].view(np.int64)), "key": pa.array(ident[first].view(np.int64)), "odd": pa.array(odd[first], pa.int32()), "keys": pa.array(np.diff(first, append=len(ident)), pa.int64())}
+            hits = pa.table([hits[x.name] if x.name in hits else pa.nulls(m, x.type) for x in plain.schema], plain.schema.names)
             return pa.concat_tables([plain, hits])
         return plain
 
-    sent = docs.select("doc_id", "text").mapInArrow(index, f"bucket int, doc_id {kind}, fp long, n long, keys binary, prints binary")
-    return B.checkpointed(sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(meet, f"doc_id {kind}, fp long, n long, key long"))
+    sent = docs.select("doc_id", "text").mapInArrow(index, f"bucket int, doc_id {kind}, fp long, n long, even_need int, odd_need int, keys binary, prints binary")
+    return B.checkpointed(sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(meet, f"doc_id {kind}, fp long, n long, even_need int, odd_need int, key long, odd int, keys long"))
+
+
+def _with_partners(shared: DataFrame) -> DataFrame:
+    """key, fp, odd, keys of ``shared`` without the sets that share too few keys to have a partner, nor keys left alone by that."""
+    needs = shared.where("key is null and n > 0").groupBy("fp").agg(F.max("even_need").alias("even_need"), F.max("odd_need").alias("odd_need"))
+    hits = B.checkpointed(shared.where("key is not null").groupBy("key", "fp", "odd").agg(F.sum("keys").alias("keys")))
+    needs = B.checkpointed(needs.join(hits.select("fp").distinct(), "fp", "left_semi"))
+    before, now = math.inf, hits.count()
+    # Stopping early keeps more candidates and loses none.
+    while now and now < 0.9 * before:
+        enough = hits.groupBy("fp", "odd").agg(F.sum("keys").alias("met")).join(needs, "fp").where("met >= if(odd = 1, odd_need, even_need)").select("fp", "odd")
+        kept = hits.join(enough, ["fp", "odd"], "left_semi")
+        hits = B.checkpointed(kept.join(kept.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "key", "left_semi").select(*hits.columns))
+        before, now = now, hits.count()
+    return hits
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -344,7 +374,7 @@ def link_classes(docs: DataFrame, shared: DataFrame, width: int, part: int, whol
     task; a family of more than ``CHUNK`` classes is cut into chunks, and each two chunks meet in a task of their
     own.  A task returns no more links than it has classes.
     """
-    hits = B.checkpointed(shared.where("key is not null").select("key", "fp").distinct())
+    hits = _with_partners(shared)
     reps = shared.where("key is null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     sets = _sets_of(docs, hits.select("fp").distinct().join(reps, "fp"), width)
     stars = hits.join(hits.groupBy("key").agg(F.min("fp").alias("b")), "key").select(F.col("fp").alias("a"), "b")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelwell.llm import bpe_table, decontam_prefix, jaccard_pigeonhole, langid_em, line_windows, lm_automaton, media_sequences, quality_fm, queries, ring_shards, token_counts
+from pixelwell.llm import blocks, bpe_table, decontam_prefix, jaccard_pigeonhole, langid_em, line_windows, lm_automaton, media_sequences, quality_fm, queries, ring_shards, token_counts
 from pixelwell.llm.tokens import public_path
 
 LONG = " ".join(f"w{i % 700}" for i in range(3000))
@@ -163,3 +163,27 @@ def test_classifier_and_languages(spark, sf, docs, none):
     und = {r.doc_id: r.lang_pred for r in langid_em.predict_languages(docs, langs, logp).collect()}
     assert und[3] == und[4] == und[5] == "und" and und[1] in langs
     assert langid_em.infer("abc", [], logp)[0] == "und" and langid_em.predict_languages(none, langs, logp).count() == 0
+
+
+def test_partners_share_the_keys_they_need():
+    rng = np.random.default_rng(3)
+    for part in (80, 90):
+        for docs in (10, 10_000, 10_000_000):
+            bands = jaccard_pigeonhole.make_bands(1_000, lambda low, high: docs, part, 100)
+            for _ in range(150):
+                n = int(np.exp(rng.uniform(0, 6.5)))
+                gone, more = rng.integers(0, n + 1, 2).tolist()
+                while 100 * (n - gone) < part * (n + more):
+                    gone, more = gone * 9 // 10, more * 9 // 10
+                one = rng.integers(1, 1 << 63, n, dtype=np.uint64)
+                two = np.concatenate((one[gone:], rng.integers(1, 1 << 63, more, dtype=np.uint64)))
+                keys, owner, needs = jaccard_pigeonhole.index_keys(np.concatenate((np.sort(one), np.sort(two))), np.array([n, len(two)]), bands, part, 100)
+                both = np.intersect1d(keys[owner == 0], keys[owner == 1])
+                assert any((both & np.uint64(1) == odd).sum() >= needs[odd].max() for odd in (0, 1))
+
+
+def test_coded_values_come_back():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 1_000):
+        a = rng.choice(rng.integers(0, 1 << 63, 20, dtype=np.uint64), n)
+        assert (blocks.unpack_coded(blocks.pack_coded(a)) == a).all()

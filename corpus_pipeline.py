@@ -2,7 +2,8 @@
 
 1. quality classifier: rejected documents go.
 2. line dedup: repeated three-line windows go from the texts; a document of which nothing is left goes too.
-3. n-gram Jaccard join: of each group of near duplicates the document with the smallest id stays.
+3. n-gram Jaccard join: of each group of near duplicates the document with the smallest id stays.  An id that
+   several rows have goes only if all of them are near duplicates of smaller ids; rows without an id stay.
 4. benchmark decontamination: contaminated documents go.
 5. BPE encoding and decoding: ids as counts and digests, with the decoded text's digest.
 
@@ -40,7 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_pigeonhole.near_groups(docs)
-    later = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    later = groups.groupBy("doc_id").agg(F.min(F.coalesce(F.col("component_id") < F.col("doc_id"), F.lit(False))).alias("all_later")).where("all_later").select("doc_id")
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 

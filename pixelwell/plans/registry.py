@@ -433,12 +433,12 @@ def select_align(spark, sf):
 
 @query()
 def rf_cv(spark, sf):
-    return ml.rf_cross_validated(read(spark, sf, "embeddings").where("vec_id < 500"), "vec_id", "embedding", "label", trees=5)
+    return ml.rf_cross_validated(read(spark, sf, "embeddings"), "vec_id", "embedding", "label", folds=10, trees=5)
 
 
 @query()
 def gbt_ovr(spark, sf):
-    return ml.gbt_one_vs_rest(read(spark, sf, "embeddings").where("vec_id < 500 and label < 3"), "vec_id", "embedding", "label", rounds=2)
+    return ml.gbt_one_vs_rest(read(spark, sf, "embeddings"), "vec_id", "embedding", "label", rounds=2)
 
 
 # ------------------------------------------------------------------ texts and vectors

@@ -134,6 +134,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).select("doc_id", F.col(label).cast("double").alias("label"))
     chosen = chosen.groupBy("doc_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
     rows = docs.select(*_inputs(docs, metadata)).join(F.broadcast(chosen), "doc_id")  # broadcast: max_train_docs rows at most
+    # One row of each id, that with the smallest text hash, so that what reaches the driver stays bounded.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "meta", "text", "label")).alias("one")).select("doc_id", "one.text", "one.meta", "one.label")
 
     def run(batches):
         for b in batches:

@@ -5,7 +5,7 @@
 3. n-gram Jaccard join: of each group of near duplicates the document with the smallest id stays.  An id that
    several rows have goes only if all of them are near duplicates of smaller ids; rows without an id stay.
 4. benchmark decontamination: contaminated documents go.
-5. BPE encoding and decoding: ids as counts and digests, with the decoded text's digest.
+5. BPE encoding and decoding: token ids, their counts and digests, with the decoded text's digest.
 
 Stages 1 to 4 return the columns of documents.  Every stage is written as Parquet and read again by the next, in the
 folder of spark.checkpoint.dir.
@@ -52,7 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_table.encode_decode(docs, public_path("word_bpe_49k.json"))
+    return bpe_table.encode_decode(docs, public_path("word_bpe_49k.json"), keep_ids=True)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("decontaminate", decontaminate), ("encode", encode)]

@@ -2,8 +2,8 @@
 
 1. quality classifier: rejected documents go.
 2. line dedup: repeated three-line windows go from the texts; a document of which nothing is left goes too.
-3. n-gram Jaccard join: of each group of near duplicates the document with the smallest id stays.  An id that
-   several rows have goes only if all of them are near duplicates of smaller ids; rows without an id stay.
+3. n-gram Jaccard join: of each group of near duplicates one row stays, that with the smallest id (nulls last), then
+   text hash.  Of rows with equal id and text one stays; texts without words are in no group.
 4. benchmark decontamination: contaminated documents go.
 5. BPE encoding and decoding: token ids, their counts and digests, with the decoded text's digest.
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelwell.llm import bpe_table, decontam_prefix, jaccard_pigeonhole, line_windows, quality_fm
+from pixelwell.llm.blocks import checkpointed
 from pixelwell.llm.queries import METADATA, held_out
 from pixelwell.llm.tokens import public_path
 
@@ -40,9 +41,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_pigeonhole.near_groups(docs)
-    later = groups.groupBy("doc_id").agg(F.min(F.coalesce(F.col("component_id") < F.col("doc_id"), F.lit(False))).alias("all_later")).where("all_later").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
+    groups = jaccard_pigeonhole.near_groups(docs.select(key.alias("doc_id"), "text"))
+    odd = groups.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("component_id") < F.col("doc_id")).alias("later"))
+    odd = checkpointed(odd.where("later or times > 1").select(F.col("doc_id").alias("__key"), "later"))
+    keyed = docs.withColumn("__key", key)
+    again = keyed.join(odd.where("not later").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    return keyed.join(odd.select("__key"), "__key", "left_anti").unionByName(again).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

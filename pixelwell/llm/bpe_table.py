@@ -1,8 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words, every distinct word of the corpus is encoded once, the ids are joined back to the
-words' positions, and ids are decoded through a join with the id-to-piece table, which is as large as the
-vocabulary file and no larger.
+Texts are split into words once, every distinct word of the corpus is encoded once and its ids are joined with the
+id-to-piece table, and ids and pieces are joined back to the words' positions.  The id-to-piece table is as
+large as the vocabulary file and no larger.
 
 Defined cases: null text is the empty text, with no ids; repeated rows are encoded each; an empty table gives an
 empty result; special strings inside a text become their special ids; columns other than doc_id and text are ignored.
@@ -11,29 +11,25 @@ empty result; special strings inside a text become their special ids; columns ot
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelwell.llm.blocks import unsqueeze
+from pixelwell.llm import blocks as B
 from pixelwell.llm.tokens import Splitter, read_spec
-from pixelwell.llm.word_table import per_distinct_word
+from pixelwell.llm.word_table import Block, per_distinct_word
 
 
-def _decoder(split: Splitter):
-    """ids -> text: pieces by id; files without a decoder join pieces with blanks."""
-    table = split.pieces()
-    piece = [table.get(i) for i in range(max(table, default=-1) + 1)]
-    rule = split.tokenizer.decoder
-    whole = None not in piece
-
-    def decode(ids: list[int]) -> str:
-        found = map(piece.__getitem__, ids) if whole else filter(None, (piece[i] if 0 <= i < len(piece) else None for i in ids))
-        return " ".join(found) if rule is None else rule.decode(list(found))
-
-    return decode
+def gather(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``pick`` of a list column (values and ends), one after the other, and the length of each."""
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    size = (ends - starts)[pick]
+    before = np.cumsum(size) - size
+    at = np.repeat(starts[pick] - before, size) + np.arange(int(size.sum()))
+    return flat[at], size
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, *, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
@@ -44,24 +40,37 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, keep_ids: bool = False, ke
     spec = read_spec(tokenizer)
 
     def work(split: Splitter):
-        return lambda word: np.array(split.encode(word), "<u4").tobytes()
-
-    def finish(split: Splitter, table: pa.Table, found: dict[str, bytes]) -> pa.Table:
-        decode, words, look = _decoder(split), split.words, found.__getitem__
-        n, ids_of, digest, back, texts = [], [], [], [], []
-        for text in table["text"]:
-            raw = b"".join(map(look, words(unsqueeze(text.as_py()).decode())))
-            ids = np.frombuffer(raw, "<u4")
-            decoded = decode(ids.tolist())
-            n.append(len(ids))
-            digest.append(hashlib.sha256(raw).hexdigest())
-            back.append(hashlib.sha256(decoded.encode()).hexdigest())
-            if keep_ids:
-                ids_of.append(ids.astype(np.int32))
+        """word -> its ids and, where pieces are simply joined with blanks, the text that they decode to."""
+        pieces, joined = split.pieces(), split.tokenizer.decoder is None
+
+        def one(word: str) -> bytes:
+            ids = split.encode(word)
+            text = " ".join(pieces[i] for i in ids).encode() if joined else b""
+            return np.array([len(ids), *ids], "<u4").tobytes() + text
+
+        return one
+
+    def finish(split: Splitter, block: Block) -> pa.Table:
+        rule, pieces = split.tokenizer.decoder, split.pieces()
+        n_of = [int.from_bytes(x[:4], "little") for x in block.answers]
+        flat = np.frombuffer(b"".join(x[4 : 4 + 4 * n] for x, n in zip(block.answers, n_of, strict=True)), "<u4")
+        decoded_of = [x[4 + 4 * n :].decode() for x, n in zip(block.answers, n_of, strict=True)]
+        ids, size = gather(flat, np.cumsum(n_of, dtype=np.int64), block.words)
+        upto = np.concatenate(([0], np.cumsum(size)))
+        cuts, words = np.concatenate(([0], block.ends())).tolist(), block.words.tolist()
+        n, digest, back, texts = [], [], [], []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            own = ids[upto[s] : upto[e]]
+            text = " ".join(map(decoded_of.__getitem__, words[s:e])) if rule is None else rule.decode([pieces[i] for i in own.tolist()])
+            n.append(len(own))
+            digest.append(hashlib.sha256(own.tobytes()).hexdigest())
+            back.append(hashlib.sha256(text.encode()).hexdigest())
             if keep_text:
-                texts.append(decoded)
-        cols = [table["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-        cols += [pa.array(ids_of, pa.list_(pa.int32()))] * keep_ids + [pa.array(texts, pa.string())] * keep_text
+                texts.append(text)
+        cols = [block.ids, pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+        if keep_ids:
+            cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32))))
+        cols += [pa.array(texts, pa.string())] * keep_text
         return pa.table(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *["decoded"] * keep_text])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -69,15 +78,35 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, keep_ids: bool = False, ke
     return per_distinct_word(docs, spec, work, finish, schema)
 
 
-def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """Adds ``decoded`` to rows with ``ids array<int>``; null ids give null, ids outside the vocabulary are skipped."""
-    spec = read_spec(tokenizer)
+def piece_table(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """id, piece of a tokenizers file, as a table."""
+    pieces = Splitter(read_spec(tokenizer)).pieces()
+    return encoded.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"id": i, "piece": p} for i, p in sorted(pieces.items())])), "array<struct<id:int,piece:string>>")).alias("p")).select("p.id", "p.piece")
 
-    def run(batches):
-        decode = _decoder(Splitter(spec))
-        for b in batches:
-            out = [None if x is None else decode(x) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
+def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """Adds ``decoded`` to rows with ``ids array<int>``, in place of such a column; null ids give null, ids outside the vocabulary are skipped.
+
+    Distinct id lists are joined with the id-to-piece table by id and put together again by position.
+    """
+    rule = json.loads(read_spec(tokenizer))["decoder"]
+    if rule is not None and rule["type"] != "ByteLevel":
+        raise ValueError("pieces of this file aren't joined simply")
     kept = encoded.drop("decoded")
-    return kept.mapInArrow(run, kept.withColumn("decoded", F.lit("")).schema)
+    ids = F.col("ids")
+    lists = kept.where(ids.isNotNull()).select("ids").distinct().withColumn("key", F.sha2(F.to_json("ids"), 256))
+    placed = lists.select("key", F.posexplode("ids").alias("at", "id"))
+    table = piece_table(encoded, tokenizer)  # as large as the vocabulary file
+    pieces = placed.join(F.broadcast(table), "id").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "" if rule else " ").alias("decoded"))
+    if rule:
+        shown = Splitter(read_spec(tokenizer)).bytes
+
+        @F.pandas_udf("string")
+        def plain(x):
+            return x.map(lambda t: bytes(map(shown.__getitem__, t)).decode(errors="replace"))
+
+        pieces = pieces.withColumn("decoded", plain("decoded"))
+    name = B.unused(kept, "__key")
+    keyed = kept.withColumn(name, F.sha2(F.to_json("ids"), 256))
+    pieces = pieces.withColumnRenamed("key", name)
+    return keyed.join(pieces, name, "left").withColumn("decoded", F.when(ids.isNotNull(), F.coalesce("decoded", F.lit("")))).drop(name)

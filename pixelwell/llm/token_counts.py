@@ -9,15 +9,12 @@ empty result; special strings are one token; columns other than doc_id and text
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pixelwell.llm.blocks import unsqueeze
 from pixelwell.llm.tokens import Splitter, read_spec
-from pixelwell.llm.word_table import per_distinct_word
+from pixelwell.llm.word_table import Block, per_distinct_word
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512) -> DataFrame:
@@ -27,15 +24,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512) -> DataFr
     def work(split: Splitter):
         return lambda word: np.uint32(len(split.encode(word))).tobytes()
 
-    def finish(split: Splitter, table: pa.Table, found: dict[str, bytes]) -> pa.Table:
-        pieces = {w: int.from_bytes(x, "little") for w, x in found.items()}
-        n, size = [], []
-        for text in table["text"]:
-            raw = unsqueeze(text.as_py())
-            t = raw.decode()
-            size.append(len(raw))
-            n.append(sum(times * pieces[w] for w, times in Counter(split.words(t)).items()))
-        return pa.table([table["doc_id"], pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+    def finish(split: Splitter, block: Block) -> pa.Table:
+        pieces = np.frombuffer(b"".join(block.answers), "<u4").astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(pieces[block.words] * block.times)))
+        ends = block.ends()
+        n = upto[ends] - upto[ends - block.entries]
+        return pa.table([block.ids, pa.array(block.n_bytes, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return per_distinct_word(docs, spec, work, finish, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return per_distinct_word(docs, spec, work, finish, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean", counted=True)

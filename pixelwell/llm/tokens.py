@@ -32,6 +32,7 @@ class Splitter:
         self.tokenizer = Tokenizer.from_str(spec)
         d = json.loads(spec)
         self.special = {x["content"]: x["id"] for x in d["added_tokens"]}
+        self.marks = sorted({x[0] for x in self.special if x})
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         norm, pre = d["normalizer"], d["pre_tokenizer"]
         kinds = [x["type"] for x in (norm or {}).get("normalizers", [norm] if norm else [])]
@@ -58,7 +59,7 @@ class Splitter:
         return [bytes(map(self.bytes.__getitem__, x)).decode() for x, _ in t.pre_tokenizer.pre_tokenize_str(text)]
 
     def words(self, text: str) -> list[str]:
-        if self.cut is None or "<" not in text or len(parts := self.cut.split(text)) == 1:
+        if self.cut is None or not any(m in text for m in self.marks) or len(parts := self.cut.split(text)) == 1:
             return self._part(text)
         out: list[str] = []
         for x in parts:

@@ -1,9 +1,17 @@
-"""A table of the distinct words of a corpus, each worked on once, and its way back to the documents."""
+"""A table of the distinct words of a corpus, each worked on once, and its way back to the documents by position.
+
+Every text is split once.  A block (see ``blocks``) numbers its distinct words, keeps its documents as sequences of
+those numbers, and sends each distinct word to a hash bucket.  A bucket works once on each of its words, whatever
+number of blocks ask for it, and answers in the order of asking; answers and word numbers meet again in the block.
+"""
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -12,53 +20,73 @@ from pyspark.sql import functions as F
 from pixelwell.llm import blocks as B
 from pixelwell.llm.tokens import Splitter
 
-ANSWER = "block int, bucket int, words binary, answers binary"
+
+@dataclass
+class Block:
+    """A block's documents: ids, raw bytes, and entries (word numbers, and how often if counted) of each in turn."""
+
+    ids: pa.ChunkedArray
+    n_bytes: np.ndarray
+    entries: np.ndarray
+    words: np.ndarray
+    times: np.ndarray | None
+    answers: list[bytes]  # by word number
+
+    def ends(self) -> np.ndarray:
+        return np.cumsum(self.entries)
 
 
-def per_distinct_word(docs: DataFrame, spec: str, work: Callable, finish: Callable, schema: str) -> DataFrame:
-    """Calls ``work(splitter)(word) -> bytes`` once per distinct word, then ``finish(splitter, table, found)`` per block.
+def _numbered(texts: list, split: Callable, counted: bool):
+    """Words in the order of their numbers, and the entries of all texts."""
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    words, times, entries = [], [], []
+    for text in texts:
+        found = split(text or "")
+        if counted:
+            found = Counter(found)
+            times.append(np.fromiter(found.values(), np.uint32, len(found)))
+        words.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+        entries.append(len(found))
+    none = [np.zeros(0, np.uint32)]
+    return list(number), np.array(entries, np.int64), np.concatenate(words or none), np.concatenate(times or none) if counted else None
 
-    Blocks of documents send their distinct words to hash buckets; a bucket sees each of its words from every
-    block, works once on each, and returns word and answer; ``found`` maps words to answers.
+
+def per_distinct_word(docs: DataFrame, spec: str, work: Callable, finish: Callable, schema: str, *, counted: bool = False) -> DataFrame:
+    """Calls ``work(splitter)(word) -> bytes`` once per distinct word, then ``finish(splitter, block) -> table`` per block.
+
+    ``counted``: a document is its distinct words with their frequencies, in place of its words in order.
     """
-    n = B.block_count(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def pack(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("block"), pa.array([B.squeeze(x.as_py().encode()) for x in b.column("text")], pa.binary())], ["doc_id", "block", "text"])
-
-    # Texts travel compressed, once; both uses below read that one exchange.
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("block", B.block_of(n))
-    rows = plain.mapInArrow(pack, f"doc_id {kind}, block int, text binary").repartition(n, "block")
-
-    def send(table: pa.Table) -> pa.Table:
-        split, seen = Splitter(spec).words, set()
-        for text in table["text"]:
-            seen.update(split(B.unsqueeze(text.as_py()).decode()))
-        by: dict[int, list[bytes]] = {}
-        for word in map(str.encode, seen):
-            by.setdefault(xxhash.xxh3_64_intdigest(word) % n, []).append(word)
-        block = table["block"][0].as_py()
-        keys = sorted(by)
-        return pa.table([pa.array([block] * len(keys), pa.int32()), pa.array(keys, pa.int32()), pa.array([B.pack_strings(sorted(by[k])) for k in keys], pa.binary()), pa.nulls(len(keys), pa.binary())], ["block", "bucket", "words", "answers"])
-
-    def answer(table: pa.Table) -> pa.Table:
+    plan = B.layout(docs)
+    n = plan.buckets
+
+    def ask(part: pa.Table):
+        found, entries, numbers, times = _numbered(part["text"].to_pylist(), Splitter(spec).words, counted)
+        raw = [w.encode() for w in found]
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n for w in raw), np.int64, len(raw))
+        order = np.argsort(bucket, kind="stable")
+        head = pa.table([part["doc_id"], pa.array(np.diff(B.text_buffers(part["text"])[1])), pa.array(entries)], ["doc_id", "n_bytes", "entries"])
+        # A word's number is its place among the words sent.
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        kept = [B.pack_table(head), *B.pack_ranked(place[numbers], len(order)), *([B.pack_ints(times)] if counted else [])]
+        return B.frame(kept), [(k, 0, B.pack_strings([raw[i] for i in order[s:e].tolist()])) for k, s, e in B.runs(bucket[order])]
+
+    def answer(asked: list) -> list[bytes]:
         one, known, out = work(Splitter(spec)), {}, []
-        for blob in table["words"]:
-            words = B.unpack_strings(blob.as_py())
+        for _, blob in asked:
+            words = B.unpack_strings(blob)
             for w in words:
                 if w not in known:
                     known[w] = one(w.decode())
             out.append(B.pack_strings([known[w] for w in words]))
-        return table.set_column(3, "answers", pa.array(out, pa.binary()))
+        return out
 
-    def close(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[str, bytes] = {}
-        for words, answers in zip(right["words"], right["answers"], strict=True):
-            found.update(zip(map(bytes.decode, B.unpack_strings(words.as_py())), B.unpack_strings(answers.as_py()), strict=True))
-        return finish(Splitter(spec), left, found)
+    def close(kept: bytes, replies: list) -> pa.Table:
+        head, ranks, order, *times = B.unframe(kept)
+        head = B.unpack_table(head)
+        answers = [x for _, blob in replies for x in B.unpack_strings(blob)]
+        times = B.unpack_ints(times[0], np.uint32) if counted else None
+        return finish(Splitter(spec), Block(head["doc_id"], head["n_bytes"].to_numpy(), head["entries"].to_numpy(), B.unpack_ranked([ranks, order]), times, answers))
 
-    sent = rows.groupBy("block").applyInArrow(send, ANSWER).repartition(n, "bucket")
-    back = sent.groupBy("bucket").applyInArrow(answer, ANSWER).repartition(n, "block")
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(close, schema)
+    return B.exchange(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), plan, ask, answer, close, schema)

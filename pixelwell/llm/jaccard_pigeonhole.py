@@ -15,8 +15,13 @@ matches.  A set is indexed in its own band and, where a larger partner may lie t
 The spare budget filters by count: a set with a partner shares with it at least s + 1 less its own light budgets (half
 as many with deletions) of a band's keys.  Sets that share fewer keys with all others together have no partner.
 
-Equal sets share a fingerprint and enter once (a class).  Keys meet in hash buckets as packed runs.  Classes that share
-keys are a family; within it all sets are compared exactly, as differences from what most of them hold.
+Equal sets (a class: two 64-bit fingerprints) enter once.  The index knows a class by its first fingerprint only; should two
+classes share it, both are compared.  Keys meet in hash buckets as packed runs; classes of one slice of texts that share a key
+are grouped there already and send the key once, as a node of their own, so a key has no more entries in its bucket
+than there are slices.  Classes that share keys, directly or through others, are a family; in a small family all sets are
+compared exactly, as differences from what most of them hold.  A large family is first cut into parts, each compared with
+some pivots too; keys within one component that this finds are done, and what is left is compared part by part, but
+for parts of one component.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; a text with fewer words
 than an n-gram is one n-gram; repeated rows and null ids are linked by their sets like any others (a component's id
@@ -30,7 +35,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelwell.llm import blocks as B
@@ -45,6 +51,10 @@ MAX_BROADCAST_IDS = 500_000
 PAIR_COST = 20.0
 #: Classes of a family that meet in one task (two chunks at most).
 CHUNK = 1_000
+#: Elements of sets that meet in one task, and raw text whose keys a bucket takes.
+ITEMS, BUCKET_BYTES = 2_000_000, 32 << 20
+#: Pivots of a large family, on average.
+PIVOTS = 32
 
 
 @dataclass(frozen=True)
@@ -129,9 +139,40 @@ class Shingler:
         return values, grams
 
     @staticmethod
-    def fingerprints(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        return B.mix64(_sums(B.mix64(values + np.uint64(77)), doc, len(sizes)) + sizes.astype(np.uint64))
+    def fingerprints(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two of each set.  The first is even; odd numbers are for groups of classes."""
+        doc, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+        one = B.mix64(_sums(B.mix64(values + np.uint64(77)), doc, n) + sizes.astype(np.uint64)) & ~np.uint64(1)
+        return one, B.mix64(_sums(B.mix64(values ^ np.uint64(0xD6E8FEB86659FD93)), doc, n) + sizes.astype(np.uint64))
+
+
+def shared_by(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which keys several prints share: ident, print, band's last bit and number of keys of each, and the shared keys with their idents.
+
+    Keys of even or of odd bands that the same prints share have one (odd) ident.
+    """
+    order = np.lexsort((prints, keys))
+    keys, prints = keys[order], prints[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])
+    keys, prints = keys[new], prints[new]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    group = np.cumsum(first) - 1
+    many = np.bincount(group)[group] > 1 if len(keys) else first
+    keys, group, prints = keys[many], group[many], prints[many]
+    odd = keys & np.uint64(1)
+    total = int(group.max()) + 1 if len(group) else 0
+    ident = (_sums(B.mix64(prints + np.uint64(5) + odd), group, total) | np.uint64(1))[group]
+    lead = np.ones(len(keys), bool)
+    lead[1:] = group[1:] != group[:-1]
+    met_keys, met_ident = keys[lead], ident[lead]
+    order = np.lexsort((odd, prints, ident))
+    ident, prints, odd = ident[order], prints[order], odd[order]
+    first = np.ones(len(ident), bool)
+    first[1:] = (ident[1:] != ident[:-1]) | (prints[1:] != prints[:-1]) | (odd[1:] != odd[:-1])
+    at = np.flatnonzero(first)
+    return ident[at], prints[at], odd[at], np.diff(at, append=len(ident)), met_keys, met_ident
 
 
 def _sums(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -211,117 +252,121 @@ def _bands_for(docs: DataFrame, part: int, whole: int) -> list[Band]:
 
 
 def shared_keys(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
-    """Checkpointed rows of two kinds: doc_id, fp, n (key null) for every document; key, fp, odd, keys for classes that share keys.
+    """Checkpointed rows of two kinds: doc_id, fp, fp2, n (key null) for every document; key, fp, odd, keys for classes that share keys.
 
     Keys of even or of odd bands with the same classes are one: ``key`` identifies the set of classes, ``keys`` counts them.
+    An odd fp stands for the classes of one slice that share the key of that number.
     ``even_need`` and ``odd_need`` (class rows) are the shared keys without which a set has no partner in the band.
     """
     bands = _bands_for(docs, part, whole)
-    n_buckets = B.block_count(docs)
+    plan = B.layout(docs, BUCKET_BYTES)
+    n_buckets = plan.buckets
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["bucket", "doc_id", "fp", "fp2", "n", "even_need", "odd_need", "key", "odd", "keys", "run", "prints"]
+    fields = f"bucket int, doc_id {kind}, fp long, fp2 long, n long, even_need int, odd_need int, key long, odd int, keys long, run binary, prints binary"
+    passed = names[1:10]
+
+    def batch(ids_type, m: int, **cols) -> pa.RecordBatch:
+        types = [pa.int32(), ids_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c := cols.get(x), pa.Array) else pa.nulls(m, t) if c is None else pa.array(c, t) for x, t in zip(names, types, strict=True)], names)
 
     def index(batches):
-        shingler = Shingler(width)
-        for batch in batches:
-            data, offsets = B.text_buffers(batch.column("text"))
-            ids = batch.column("doc_id")
+        shingler, spread = Shingler(width), 0
+        for rows in batches:
+            data, offsets = B.text_buffers(rows.column("text"))
+            ids = rows.column("doc_id")
             for a, b in _slices(offsets):
                 values, sizes = shingler.sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                prints = shingler.fingerprints(values, sizes)
+                prints, second = shingler.fingerprints(values, sizes)
                 # Each class of the slice is indexed once.
                 _, first = np.unique(prints, return_index=True)
                 lead = np.zeros(len(prints), bool)
                 lead[first] = True
                 keys, owner, needs = index_keys(values[np.repeat(lead, sizes)], np.where(lead, sizes, 0), bands, part, whole)
-                order = np.argsort(keys)
-                keys, owner = keys[order], owner[order]
-                rows = [(k, B.pack_sorted(keys[s:e]), B.pack_coded(prints[owner[s:e]])) for k, s, e in B.runs(B.bucket_of(keys, n_buckets))]
-                n, m = b - a, len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((B.bucket_of(prints, n_buckets), np.array([r[0] for r in rows], np.int64))), pa.int32()),
-                        pa.concat_arrays([ids.slice(a, n), pa.nulls(m, ids.type)]),
-                        pa.concat_arrays([pa.array(prints.view(np.int64)), pa.nulls(m, pa.int64())]),
-                        pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(m, pa.int64())]),
-                        *(pa.concat_arrays([pa.array(x, pa.int32()), pa.nulls(m, pa.int32())]) for x in needs),
-                        pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([r[1] for r in rows], pa.binary())]),
-                        pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([r[2] for r in rows], pa.binary())]),
-                    ],
-                    ["bucket", "doc_id", "fp", "n", "even_need", "odd_need", "keys", "prints"],
-                )
+                needs = {name: pa.array(x, pa.int32(), mask=~lead) for name, x in zip(("even_need", "odd_need"), needs, strict=True)}
+                # Documents only pass through the buckets, dealt evenly.
+                yield batch(ids.type, b - a, bucket=(np.arange(a, b) + spread) % n_buckets, doc_id=ids.slice(a, b - a), fp=prints.view(np.int64), fp2=second.view(np.int64), n=sizes, **needs)
+                spread += b - a
+                holder = prints[owner]
+                # Classes of this slice that share keys: one group, which is a member of itself and stands for them elsewhere.
+                ident, member, odd, times, met, met_ident = shared_by(keys, holder)
+                if len(ident):
+                    own = np.unique(np.stack((ident, odd), 1), axis=0)
+                    g, o = own[:, 0], own[:, 1]
+                    m = len(ident) + len(g)
+                    yield batch(ids.type, m, bucket=(np.arange(m) + spread) % n_buckets, fp=np.concatenate((member, g)).view(np.int64), key=np.concatenate((ident, g)).view(np.int64), odd=np.concatenate((odd, o)), keys=np.concatenate((times, np.ones(len(g), np.int64))))
+                    spread += m
+                order = np.argsort(keys, kind="stable")
+                keys, holder = keys[order], holder[order]
+                if len(met):
+                    keys, at = np.unique(keys, return_index=True)
+                    holder = holder[at]
+                    holder[np.searchsorted(keys, met)] = met_ident
+                runs = [(k, B.pack_sorted(keys[s:e]), B.pack_coded(holder[s:e])) for k, s, e in B.runs(B.bucket_of(keys, n_buckets))]
+                if runs:
+                    yield batch(ids.type, len(runs), bucket=[r[0] for r in runs], run=[r[1] for r in runs], prints=[r[2] for r in runs])
 
     def meet(table: pa.Table) -> pa.Table:
-        packed = table.filter(pa.compute.is_valid(table["keys"]))
-        plain = table.filter(pa.compute.is_null(table["keys"])).select(["doc_id", "fp", "n", "even_need", "odd_need"])
-        plain = plain.append_column("key", pa.nulls(len(plain), pa.int64())).append_column("odd", pa.nulls(len(plain), pa.int32())).append_column("keys", pa.nulls(len(plain), pa.int64()))
+        packed = table.filter(pc.is_valid(table["run"]))
+        plain = table.filter(pc.is_null(table["run"])).select(passed)
         if not len(packed):
             return plain
-        keys = np.concatenate([B.unpack_sorted(x.as_py()) for x in packed["keys"]])
+        keys = np.concatenate([B.unpack_sorted(x.as_py()) for x in packed["run"]])
         prints = np.concatenate([B.unpack_coded(x.as_py()) for x in packed["prints"]])
         order = np.argsort(keys, kind="stable")
         keys, prints = keys[order], prints[order]
         same = keys[1:] == keys[:-1]
         twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        keys, prints = keys[twice], prints[twice]
-        order = np.lexsort((prints, keys))
-        keys, prints = keys[order], prints[order]
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1]))) if len(keys) else np.zeros(0, bool)
-        keys, prints = keys[new], prints[new]
-        if len(keys):
-            group = np.cumsum(np.concatenate(([0], (keys[1:] != keys[:-1]).astype(np.int64))))
-            many = np.bincount(group)[group] > 1
-            group, prints, odd = group[many], prints[many], (keys[many] & np.uint64(1))
-        if len(keys) and len(prints):
-            ident = _sums(B.mix64(prints + np.uint64(5) + odd), group, int(group.max()) + 1)[group]
-            order = np.lexsort((odd, prints, ident))
-            ident, prints, odd = ident[order], prints[order], odd[order]
-            first = np.flatnonzero(np.concatenate(([True], (ident[1:] != ident[:-1]) | (prints[1:] != prints[:-1]) | (odd[1:] != odd[:-1]))))
-            m = len(first)
-            hits = {"fp": pa.array(prints[first].view(np.int64)), "key": pa.array(ident[first].view(np.int64)), "odd": pa.array(odd[first], pa.int32()), "keys": pa.array(np.diff(first, append=len(ident)), pa.int64())}
-            hits = pa.table([hits[x.name] if x.name in hits else pa.nulls(m, x.type) for x in plain.schema], plain.schema.names)
-            return pa.concat_tables([plain, hits])
-        return plain
-
-    sent = docs.select("doc_id", "text").mapInArrow(index, f"bucket int, doc_id {kind}, fp long, n long, even_need int, odd_need int, keys binary, prints binary")
-    return B.checkpointed(sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(meet, f"doc_id {kind}, fp long, n long, even_need int, odd_need int, key long, odd int, keys long"))
+        del order, same
+        ident, member, odd, times = shared_by(keys[twice], prints[twice])[:4]
+        hits = {"fp": pa.array(member.view(np.int64)), "key": pa.array(ident.view(np.int64)), "odd": pa.array(odd, pa.int32()), "keys": pa.array(times, pa.int64())}
+        return pa.concat_tables([plain, pa.table([hits[x.name] if x.name in hits else pa.nulls(len(ident), x.type) for x in plain.schema], plain.schema.names)])
+
+    sent = B.dealt(docs.select("doc_id", "text"), plan).mapInArrow(index, fields)
+    return B.checkpointed(sent.repartitionById(n_buckets, "bucket").groupBy("bucket").applyInArrow(meet, fields.removeprefix("bucket int, ").removesuffix(", run binary, prints binary")))
 
 
 def _with_partners(shared: DataFrame) -> DataFrame:
-    """key, fp, odd, keys of ``shared`` without the sets that share too few keys to have a partner, nor keys left alone by that."""
-    needs = shared.where("key is null and n > 0").groupBy("fp").agg(F.max("even_need").alias("even_need"), F.max("odd_need").alias("odd_need"))
-    hits = B.checkpointed(shared.where("key is not null").groupBy("key", "fp", "odd").agg(F.sum("keys").alias("keys")))
-    needs = B.checkpointed(needs.join(hits.select("fp").distinct(), "fp", "left_semi"))
+    """key, fp, odd, keys of ``shared`` without the sets that share too few keys to have a partner, nor keys left alone by that.
+
+    Classes that share a first fingerprint share a key of that number (an even one).
+    """
+    classes = shared.where("key is null and n > 0").groupBy("fp").agg(F.min("even_need").alias("even_need"), F.min("odd_need").alias("odd_need"), F.min("fp2").alias("low"), F.max("fp2").alias("high"))
+    hits = shared.where("key is not null").groupBy("key", "fp", "odd").agg(F.sum("keys").alias("keys"))
+    hits = B.checkpointed(hits)
+    twins = classes.where("low <> high").select(F.col("fp").alias("key"), "fp", F.lit(2).alias("odd"), F.lit(2).cast("long").alias("keys"))
+    needs = B.checkpointed(classes.join(hits.select("fp").distinct(), "fp", "left_semi").select("fp", "even_need", "odd_need"))
     before, now = math.inf, hits.count()
-    # Stopping early keeps more candidates and loses none.
+    # Stopping early keeps more candidates and loses none.  Groups of classes (odd numbers) have no needs.
     while now and now < 0.9 * before:
-        enough = hits.groupBy("fp", "odd").agg(F.sum("keys").alias("met")).join(needs, "fp").where("met >= if(odd = 1, odd_need, even_need)").select("fp", "odd")
+        enough = hits.groupBy("fp", "odd").agg(F.sum("keys").alias("met")).join(needs, "fp", "left").where("even_need is null or met >= if(odd = 1, odd_need, even_need)").select("fp", "odd")
         kept = hits.join(enough, ["fp", "odd"], "left_semi")
         hits = B.checkpointed(kept.join(kept.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "key", "left_semi").select(*hits.columns))
         before, now = now, hits.count()
-    return hits
+    return B.checkpointed(hits.select("key", "fp").distinct().unionAll(twins.select("key", "fp")))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """fp, n, items (packed set) of the classes in ``wanted`` (fp, rep: one document of the class)."""
-    wanted = B.checkpointed(wanted.select("fp", F.col("rep").alias("doc_id")))
+    """fp, fp2, n, items (packed set) of the classes in ``wanted`` (fp, fp2, rep: one document of the class)."""
+    wanted = B.checkpointed(wanted.select("fp", "fp2", F.col("rep").alias("doc_id")))
     few = wanted.count() <= MAX_BROADCAST_IDS
-    side = wanted.select(F.col("doc_id").alias("rep"), F.col("fp").alias("want"))
+    side = wanted.select(F.col("doc_id").alias("rep"), F.col("fp").alias("want"), F.col("fp2").alias("want2"))
     rows = docs.select("doc_id", "text")
-    rows = rows.join(F.broadcast(side) if few else side, rows["doc_id"].eqNullSafe(side["rep"])).select("text", "want")
+    rows = rows.join(F.broadcast(side) if few else side, rows["doc_id"].eqNullSafe(side["rep"])).select("text", "want", "want2")
 
     def run(batches):
         shingler = Shingler(width)
         for batch in batches:
             data, offsets = B.text_buffers(batch.column("text"))
-            want = batch.column("want").to_numpy().view(np.uint64)
+            want, want2 = (batch.column(c).to_numpy().view(np.uint64) for c in ("want", "want2"))
             for a, b in _slices(offsets):
                 values, sizes = shingler.sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                prints = shingler.fingerprints(values, sizes)
+                one, two = shingler.fingerprints(values, sizes)
                 cuts = np.concatenate(([0], np.cumsum(sizes)))
-                pick = [i for i in range(b - a) if prints[i] == want[a + i]]
-                yield pa.RecordBatch.from_arrays([pa.array(prints[pick].view(np.int64)), pa.array(sizes[pick], pa.int64()), pa.array([B.pack_sorted(values[cuts[i] : cuts[i + 1]]) for i in pick], pa.binary())], ["fp", "n", "items"])
+                pick = np.flatnonzero((one == want[a:b]) & (two == want2[a:b])).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(one[pick].view(np.int64)), pa.array(two[pick].view(np.int64)), pa.array(sizes[pick], pa.int64()), pa.array([B.pack_sorted(values[cuts[i] : cuts[i + 1]]) for i in pick], pa.binary())], ["fp", "fp2", "n", "items"])
 
-    return B.checkpointed(rows.mapInArrow(run, "fp long, n long, items binary").dropDuplicates(["fp"]))
+    return B.checkpointed(rows.mapInArrow(run, "fp long, fp2 long, n long, items binary").dropDuplicates(["fp", "fp2"]))
 
 
 def linked_within(values: np.ndarray, sizes: np.ndarray, full: np.ndarray, part: int, whole: int) -> np.ndarray:
@@ -367,39 +412,19 @@ def linked_within(values: np.ndarray, sizes: np.ndarray, full: np.ndarray, part:
         label = low
 
 
-def link_classes(docs: DataFrame, shared: DataFrame, width: int, part: int, whole: int) -> DataFrame:
-    """fp, label: the component of every class that is linked with another.
-
-    Classes that share keys, directly or through others, are a family.  Small families are compared whole, several to a
-    task; a family of more than ``CHUNK`` classes is cut into chunks, and each two chunks meet in a task of their
-    own.  A task returns no more links than it has classes.
-    """
-    hits = _with_partners(shared)
-    reps = shared.where("key is null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    sets = _sets_of(docs, hits.select("fp").distinct().join(reps, "fp"), width)
+def _families(hits: DataFrame) -> DataFrame:
+    """fp, family of every class and group in ``hits`` (key, fp)."""
     stars = hits.join(hits.groupBy("key").agg(F.min("fp").alias("b")), "key").select(F.col("fp").alias("a"), "b")
     family = components(stars).withColumnRenamed("node", "fp")
-    members = B.checkpointed(hits.select("fp").distinct().join(family, "fp", "left").select("fp", F.coalesce("label", "fp").alias("family")))
-    tasks = max(1, -(-members.count() // CHUNK))
-    sized = members.join(members.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "family")
-    held = sized.join(sets, "fp")
-    small = held.where("chunks = 1").select("family", "fp", "n", "items", F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("task"))
-    # Members of large families travel as their differences from the family's first class, which are small.
-    large = held.where("chunks > 1").join(sets.select(F.col("fp").alias("family"), F.col("items").alias("first")), "family")
+    return hits.select("fp").distinct().join(family, "fp", "left").select("fp", F.coalesce("label", "fp").alias("family"))
 
-    def differ(batches):
-        for batch in batches:
-            out = [B.pack_sorted(np.setxor1d(B.unpack_sorted(x.as_py()), B.unpack_sorted(y.as_py()), assume_unique=True)) for x, y in zip(batch.column("items"), batch.column("first"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "fp", "n", "chunks")), pa.array(out, pa.binary())], ["family", "fp", "n", "chunks", "items"])
 
-    large = large.select("family", "fp", "n", "chunks", "items", "first").mapInArrow(differ, "family long, fp long, n long, chunks long, items binary")
-    large = large.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("own <> other")
-    large = large.select("family", "fp", "n", "items", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-    rows = small.unionAll(large)
+def _compare(rows: DataFrame, tasks: int, part: int, whole: int) -> DataFrame:
+    """Links (a, b: structs of fp, fp2) that connect what is linked among the rows (task, family, fp, fp2, n, items) of each task and family."""
 
     def compare(table: pa.Table) -> pa.Table:
-        fp, fam = table["fp"].to_numpy(), table["family"].to_numpy()
-        order = np.lexsort((fp, fam))
+        ids, fam = table.select(["fp", "fp2"]), table["family"].to_numpy()
+        order = np.lexsort((ids["fp2"].to_numpy(), ids["fp"].to_numpy(), fam))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for _, s, e in B.runs(fam[order]):
             pick = order[s:e]
@@ -407,19 +432,101 @@ def link_classes(docs: DataFrame, shared: DataFrame, width: int, part: int, whol
                 items = [B.unpack_sorted(table["items"][int(i)].as_py()) for i in pick]
                 label = linked_within(np.concatenate(items), np.array([len(x) for x in items]), table["n"].to_numpy()[pick], part, whole)
                 moved = label != np.arange(len(pick))
-                a.append(fp[pick][moved])
-                b.append(fp[pick][label[moved]])
-        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                a.append(pick[moved])
+                b.append(pick[label[moved]])
+        ends = [ids.take(pa.array(np.concatenate(x))) for x in (a, b)]
+        return pa.table([c.combine_chunks() for t in ends for c in t.columns], ["fp", "fp2", "to", "to2"])
+
+    links = rows.select("task", "family", "fp", "fp2", "n", "items").repartition(tasks, "task").groupBy("task").applyInArrow(compare, "fp long, fp2 long, to long, to2 long")
+    return B.checkpointed(links.select(F.struct("fp", "fp2").alias("a"), F.struct(F.col("to").alias("fp"), F.col("to2").alias("fp2")).alias("b")))
+
+
+def _parts(size: Column, n: Column) -> Column:
+    return F.greatest(F.ceil(size / CHUNK), F.ceil(n / ITEMS))
+
 
-    links = rows.repartition(tasks, "task").groupBy("task").applyInArrow(compare, "a long, b long")
-    return B.checkpointed(components(links).withColumnRenamed("node", "fp"))
+def link_classes(docs: DataFrame, shared: DataFrame, width: int, part: int, whole: int) -> DataFrame:
+    """fp, fp2, label: the component of every class that is linked with another.
+
+    Small families are compared whole, several to a task.  A family of more than ``CHUNK`` classes or ``ITEMS`` elements is
+    compared by parts with some pivots, and then only across the components found so far (``_rest_of_large``).
+    A task returns no more links than it has classes.
+    """
+    hits = _with_partners(shared)
+    reps = shared.where("key is null and n > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"))
+    sets = _sets_of(docs, reps.join(hits.select("fp").distinct(), "fp", "left_semi"), width)
+    held = B.checkpointed(sets.select("fp", "fp2", "n").join(_families(hits), "fp"))
+    sized = held.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min(F.struct("fp", "fp2")).alias("first"))
+    sized = B.checkpointed(sized.withColumn("parts", _parts(F.col("size"), F.col("total"))))
+    t = sized.agg(F.sum("size").alias("n"), F.sum("total").alias("items"), F.max("parts").alias("parts")).first()
+    tasks = max(1, -(-int(t["n"] or 0) // CHUNK), -(-int(t["items"] or 0) // ITEMS))
+    members = held.select("fp", "fp2", "family").join(sized, "family").join(sets, ["fp", "fp2"])
+    small = members.where("parts = 1").withColumn("task", F.pmod(F.xxhash64("family"), F.lit(tasks)))
+    links = _compare(small, tasks, part, whole)
+    if int(t["parts"] or 0) > 1:
+        links = links.unionAll(_large(hits, members.where("parts > 1"), sets, tasks, part, whole))
+    return B.checkpointed(components(links).select("node.fp", "node.fp2", "label"))
+
+
+def _large(hits: DataFrame, members: DataFrame, sets: DataFrame, tasks: int, part: int, whole: int) -> DataFrame:
+    """Links within large families (members: family, size, parts, first, fp, fp2, n, items)."""
+
+    def differ(batches):
+        for batch in batches:
+            out = [B.pack_sorted(np.setxor1d(B.unpack_sorted(x.as_py()), B.unpack_sorted(y.as_py()), assume_unique=True)) for x, y in zip(batch.column("items"), batch.column("base"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "size", "parts", "fp", "fp2", "n")), pa.array(out, pa.binary())], ["family", "size", "parts", "fp", "fp2", "n", "items"])
+
+    # Members travel as their differences from the family's first class, which are small where the family is one of copies.
+    base = sets.select(F.struct("fp", "fp2").alias("first"), F.col("items").alias("base"))
+    rows = members.join(base, "first").select("family", "size", "parts", "fp", "fp2", "n", "items", "base")
+    rows = B.checkpointed(rows.mapInArrow(differ, "family long, size long, parts long, fp long, fp2 long, n long, items binary"))
+    own = F.pmod(F.xxhash64("fp", "fp2", F.lit(1)), F.col("parts"))
+    is_pivot = F.pmod(F.xxhash64("fp", "fp2", F.lit(2)), F.greatest(F.ceil(F.col("size") / PIVOTS), F.col("parts"))) == 0
+    pivots = rows.where(is_pivot).withColumn("own", own).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("at <> own").drop("own")
+    first = rows.withColumn("at", own).unionByName(pivots).withColumn("task", F.xxhash64("family", "at"))
+    links = _compare(first, tasks, part, whole)
+    rest = _rest_of_large(hits, rows, components(links))
+    if rest is None:
+        return links
+    return links.unionAll(_compare(rest, tasks, part, whole))
+
+
+def _rest_of_large(hits: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Tasks that compare the classes of large families which share a key across components, or None if no key does."""
+    ident = F.struct("fp", "fp2")
+    labels = labels.select("node.fp", "node.fp2", "label")
+    known = B.checkpointed(rows.select("fp", "fp2", "family", "n").join(labels, ["fp", "fp2"], "left").withColumn("label", F.coalesce("label", ident)))
+    of_class = known.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    # The classes that a group stands for; the group's key has its number.
+    inside = hits.where("key <> fp or fp % 2 = 0").join(of_class, "fp").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    of_group = hits.where("key = fp and fp % 2 <> 0").select("fp").join(inside.withColumnRenamed("key", "fp"), "fp").select("fp", "low", "high")
+    nodes = of_class.unionAll(of_group).groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    mixed = hits.join(nodes, "fp").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
+    left = B.checkpointed(hits.join(mixed, "key", "left_semi"))
+    if left.isEmpty():
+        return None
+    again = known.drop("family").join(_families(left).withColumnRenamed("family", "sub"), "fp")
+    again = B.checkpointed(again)
+    size = again.groupBy("sub").agg(F.count("*").alias("size"), F.sum("n").alias("total")).withColumn("parts", _parts(F.col("size"), F.col("total")))
+    each = again.groupBy("sub", "label").agg(F.count("*").alias("mine"), F.sum("n").alias("total")).withColumn("own_parts", _parts(F.col("mine"), F.col("total"))).drop("total")
+    # A component of more than one part has parts of its own; smaller ones share parts.
+    placed = again.join(each, ["sub", "label"]).join(size.select("sub", "parts"), "sub")
+    big = F.col("own_parts") > 1
+    placed = placed.withColumn("big", F.when(big, F.col("label"))).withColumn("own", F.when(big, F.xxhash64("label", F.pmod(F.xxhash64("fp", "fp2", F.lit(3)), F.col("own_parts")))).otherwise(F.pmod(F.xxhash64("label"), F.col("parts"))))
+    placed = B.checkpointed(placed.select("sub", "fp", "fp2", "big", "own"))
+    parts = placed.select("sub", "big", "own").distinct()
+    two = parts.select("sub", F.col("own").alias("i"), F.col("big").alias("x")).join(parts.select("sub", F.col("own").alias("j"), F.col("big").alias("y")), "sub")
+    # Two parts of one component have nothing left to find; a shared part is compared with itself by every pair it is in, or alone.
+    two = two.where("(i < j and (x is null or y is null or x <> y)) or (i = j and x is null)")
+    two = two.select("sub", F.xxhash64("sub", "i", "j").alias("task"), F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    return placed.join(two, ["sub", "own"]).select("task", F.col("sub").alias("family"), "fp", "fp2").join(rows.select("fp", "fp2", "n", "items"), ["fp", "fp2"])
 
 
 def near_groups(docs: DataFrame, *, width: int = WIDTH, part: int = PART, whole: int = WHOLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.  Linked: whole * |both| >= part * |either|."""
     shared = shared_keys(docs, width, part, whole)
     labels = link_classes(docs, shared, width, part, whole)
-    own = shared.where("key is null").select("doc_id", "fp", F.col("n").alias("n_shingles"))
-    own = own.join(labels, "fp", "left").select("doc_id", "n_shingles", F.coalesce("label", "fp").alias("label"))
+    own = shared.where("key is null").select("doc_id", "fp", "fp2", F.col("n").alias("n_shingles"))
+    own = own.join(labels, ["fp", "fp2"], "left").select("doc_id", "n_shingles", F.coalesce("label", F.struct("fp", "fp2")).alias("label"))
     least = own.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return own.join(least, (own["label"] == least["label"]) & (own["n_shingles"] > 0), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

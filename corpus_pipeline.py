@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelwell.llm import bpe_table, decontam_prefix, jaccard_pigeonhole, line_windows, quality_fm
-from pixelwell.llm.blocks import checkpointed
+from pixelwell.llm.blocks import checkpointed, columns, remove_folder, shared_folder, unused
 from pixelwell.llm.queries import METADATA, held_out
 from pixelwell.llm.tokens import public_path
 
@@ -34,26 +34,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = line_windows.dedup_lines(docs)
-    emptied = (F.col("__n_removed") > 0) & ~F.col("text").rlike("[^\\s]")
+    removed = F.col(done.columns[-1])
+    emptied = (removed > 0) & ~F.col("text").rlike("[^\\s]")
     changed = done.where(~F.coalesce(emptied, F.lit(False)))
-    length = F.when(F.col("__n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-    return changed.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    length = F.when(removed > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+    return changed.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*columns(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
     groups = jaccard_pigeonhole.near_groups(docs.select(key.alias("doc_id"), "text"))
     odd = groups.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("component_id") < F.col("doc_id")).alias("later"))
-    odd = checkpointed(odd.where("later or times > 1").select(F.col("doc_id").alias("__key"), "later"))
-    keyed = docs.withColumn("__key", key)
-    again = keyed.join(odd.where("not later").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
-    return keyed.join(odd.select("__key"), "__key", "left_anti").unionByName(again).select(*docs.columns)
+    name = unused(docs, "__key")
+    odd = checkpointed(odd.where("later or times > 1").select(F.col("doc_id").alias(name), "later"))
+    keyed = docs.withColumn(name, key)
+    again = keyed.join(odd.where("not later").select(name), name, "left_semi").dropDuplicates([name])
+    return keyed.join(odd.select(name), name, "left_anti").unionByName(again).select(*columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam_prefix.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"]), "left_anti").select(*docs.columns)
+    own, at, there = (unused(docs, x) for x in ("__own", "__id", "__hash"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias(at), F.col("text_hash").alias(there)).distinct()
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(own) == F.col(there)), "left_anti").select(*columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,15 +68,14 @@ STAGES = [("quality", quality), ("lines", lines), ("near", near), ("decontaminat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows.  A stage's table is removed once the next one is written; the last one stays."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs

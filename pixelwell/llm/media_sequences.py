@@ -8,13 +8,15 @@ Media are stored as binary greymaps (P5): the payload's bytes are the samples, `
 blanks to whole rows, so storing loses nothing.
 
 Defined cases: null html has no items; a reference to an unknown digest stays in the sequence, unresolved; null
-text is stored as the empty text, one row of blanks; equal payloads are stored once; a page read twice gives its
-sequence twice; an empty table gives an empty result; other columns are ignored.
+text is stored as the empty text, one row of blanks; equal payloads are stored once; media that aren't whole greymaps
+have null features; a head, title, figure or caption that is never closed hides no text; a caption belongs to all
+media of its figure, before or behind it, and is text if there are none; a page read twice gives its sequence twice; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from html.parser import HTMLParser
 
@@ -30,10 +32,11 @@ ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption
 
 
 class _Page(HTMLParser):
-    """Collects (kind, text, digest, caption) in page order."""
+    """Collects [kind, text, digest, caption] in page order.  No visible text is lost on pages that leave tags open."""
 
-    HIDDEN = frozenset({"script", "style", "head", "template"})
-    BREAKS = frozenset({"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "figure", "ul", "ol", "table", "blockquote", "body"})
+    HIDDEN = frozenset({"script", "style", "template"})
+    OF_HEAD = frozenset({"html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template"})
+    BREAKS = frozenset({"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "ul", "ol", "table", "blockquote", "body"})
     MEDIA = frozenset({"img", "audio", "video", "source", "embed"})
 
     def __init__(self) -> None:
@@ -41,7 +44,8 @@ class _Page(HTMLParser):
         self.items: list[list] = []
         self.words: list[str] = []
         self.hidden = 0
-        self.figure: list[int] | None = None
+        self.head = self.title = False
+        self.figures: list[dict] = []
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -50,41 +54,77 @@ class _Page(HTMLParser):
         if text:
             self.items.append(["text", text, None, None])
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            text = " ".join("".join(self.caption).split())
+            self.figures[-1]["captions"] += [text] if text else []
+            self.caption = None
+
+    def end_figure(self) -> None:
+        """Gives its caption to all media of the figure; a caption without media is text."""
+        self.end_caption()
+        figure = self.figures.pop()
+        text = " ".join(figure["captions"])
+        for i in figure["media"] if text else []:
+            self.items[i][3] = text
+        self.flush()
+        if text and not figure["media"]:
+            self.items.append(["text", text, None, None])
+
     def handle_starttag(self, tag, attrs):
-        if tag in self.HIDDEN:
+        if tag not in self.OF_HEAD:  # the head ends here, closed or not
+            self.head = self.title = False
+        if tag in ("head", "title"):
+            setattr(self, tag, True)
+        elif tag in self.HIDDEN:
             self.hidden += 1
-        if tag in self.BREAKS:
+        elif tag in self.BREAKS and self.caption is not None:
+            self.caption.append(" ")
+        elif tag in self.BREAKS:
+            self.flush()
+        elif tag == "figure":
+            self.end_caption()
             self.flush()
-        if tag == "figure":
-            self.figure = []
-        if tag == "figcaption":
+            self.figures.append({"media": [], "captions": []})
+        elif tag == "figcaption" and self.figures:
+            self.end_caption()
             self.flush()
             self.caption = []
-        if tag in self.MEDIA:
+        elif tag in self.MEDIA and not self.hidden:
             a = dict(attrs)
             src = a.get("src") or ""
             if src:
                 self.flush()
                 self.items.append(["media", None, src.removeprefix("media:"), a.get("alt") or None])
-                if self.figure is not None:
-                    self.figure.append(len(self.items) - 1)
+                if self.figures:
+                    self.figures[-1]["media"].append(len(self.items) - 1)
 
     def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
+        if tag in ("head", "title"):
+            setattr(self, tag, False)
+        elif tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for i in self.figure or []:
-                self.items[i][3] = text or self.items[i][3]
-            self.caption = None
-        if tag == "figure":
-            self.figure = None
-        if tag in self.BREAKS:
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+        elif tag in self.BREAKS and self.caption is None:
             self.flush()
 
     def handle_data(self, data):
-        if not self.hidden:
-            (self.words if self.caption is None else self.caption).append(data)
+        if self.hidden or self.title or (self.head and not data.strip()):
+            return
+        self.head = False
+        (self.words if self.caption is None else self.caption).append(data)
+
+    def finish(self) -> list[list]:
+        self.close()
+        if self.caption is not None:  # never closed: what follows can't be told from the caption, so all of it is text
+            self.words, self.caption = self.caption, None
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        return self.items
 
 
 def parse_page(html: str | None) -> list[dict]:
@@ -92,9 +132,7 @@ def parse_page(html: str | None) -> list[dict]:
         return []
     page = _Page()
     page.feed(html)
-    page.close()
-    page.flush()
-    return [dict(zip(("position", "kind", "text", "digest", "caption"), (i, *x), strict=True)) for i, x in enumerate(page.items)]
+    return [dict(zip(("position", "kind", "text", "digest", "caption"), (i, *x), strict=True)) for i, x in enumerate(page.finish())]
 
 
 def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -109,6 +147,12 @@ def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, items {ITEMS}").withColumnRenamed("key", key)
 
 
+def page_of(text: Column, digest: Column, caption: Column) -> Column:
+    """A page with the text's lines as paragraphs, then the media of that digest with a caption."""
+    escaped = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p>\n<p>"))
+    return F.concat(F.lit("<html><head><title>document</title><body><p>"), escaped, F.lit("</p><figure><img src='media:"), digest, F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure>"))
+
+
 def payload_of(text: Column) -> Column:
     """The text's UTF-8 bytes, padded with blanks to a positive multiple of WIDTH."""
     raw = F.coalesce(text, F.lit("")).cast("binary")
@@ -121,13 +165,15 @@ def stored(payload: Column) -> Column:
     return F.concat(head.cast("binary"), payload)
 
 
-def read_greymap(raw: bytes) -> np.ndarray:
-    """Rows x columns of a P5 file with 8-bit samples and no comments."""
-    magic, size, top, rest = raw.split(b"\n", 3)
-    width, height = map(int, size.split())
-    if magic != b"P5" or top != b"255" or len(rest) != width * height:
-        raise ValueError("not a whole 8-bit greymap")
-    return np.frombuffer(rest, np.uint8).reshape(height, width)
+def read_greymap(raw: bytes | None) -> np.ndarray | None:
+    """Rows x columns of a P5 file with 8-bit samples and no comments; None if it isn't one, or isn't whole."""
+    found = re.match(rb"P5\n(\d{1,9}) (\d{1,9})\n255\n", raw or b"")
+    if not found:
+        return None
+    width, height = map(int, found.groups())
+    if not width * height or len(raw) - found.end() != width * height:
+        return None
+    return np.frombuffer(raw, np.uint8, width * height, found.end()).reshape(height, width)
 
 
 def feature(image: np.ndarray) -> str:
@@ -147,8 +193,12 @@ def measure(media: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for raw in b.column("media").to_pylist():
                 image = read_greymap(raw)
+                held = (None, None) if raw is None else (len(raw), hashlib.sha256(raw).hexdigest())
+                if image is None:
+                    out.append((None, None, None, *held, None))
+                    continue
                 payload = image.tobytes()
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(image)))
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *held, feature(image)))
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("digest"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

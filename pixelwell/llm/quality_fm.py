@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from pixelwell.llm import blocks  # noqa: F401  (functions here travel by value)
+from pixelwell.llm import blocks  # functions here travel by value
 
 WORD_BITS, BINS, RANK = 16, 16, 8
 MAX_TRAIN_DOCS = 4_000
@@ -126,7 +127,7 @@ class Machine:
 
 
 def _inputs(docs: DataFrame, metadata: tuple[str, ...]) -> list[Column]:
-    return [F.col("doc_id"), F.col("text"), F.array(*[F.col(c).cast("double") for c in metadata]).cast("array<double>").alias("meta")]
+    return [F.col("doc_id"), F.col("text"), F.array(*[F.col(blocks.quoted(c)).cast("double") for c in metadata]).cast("array<double>").alias("meta")]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "quality", metadata: tuple[str, ...] = (), max_train_docs: int = MAX_TRAIN_DOCS) -> Machine:
@@ -163,13 +164,15 @@ def score_quality(docs: DataFrame, machine: Machine, *, metadata: tuple[str, ...
 
 def keep_good(docs: DataFrame, machine: Machine, *, metadata: tuple[str, ...] = (), accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` that score at least ``accept``, all columns as they are."""
-    names, taken = docs.columns, "__quality_inputs"
-    wide = docs.withColumn(taken, F.struct(*_inputs(docs, metadata)[1:]))
+    names, schema = docs.columns, docs.schema
+    # Columns go by number, whatever their names.
+    numbered = [f"c{i}" for i in range(len(names))]
+    wide = docs.select(*[F.col(blocks.quoted(c)).alias(n) for c, n in zip(names, numbered, strict=True)], F.struct(*_inputs(docs, metadata)[1:]).alias("inputs"))
 
     def run(batches):
         for b in batches:
-            t = b.column(names.index("text")).to_pylist()
-            meta = b.column(len(names)).field("meta").to_pylist()
-            yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array([machine.score(*features(x, m)) >= accept for x, m in zip(t, meta, strict=True)], pa.bool_()))
+            text, meta = (b.column(len(names)).field(x).to_pylist() for x in ("text", "meta"))
+            yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=numbered).filter(pa.array([machine.score(*features(x, m)) >= accept for x, m in zip(text, meta, strict=True)], pa.bool_()))
 
-    return wide.mapInArrow(run, docs.schema)
+    kept = wide.mapInArrow(run, StructType([StructField(n, f.dataType) for n, f in zip(numbered, schema.fields, strict=True)]))
+    return kept.toDF(*names)

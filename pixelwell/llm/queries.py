@@ -60,14 +60,14 @@ def op8_decontam_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text is a greymap that its page refers to by digest, with a caption."""
+    """Each document is a page of its paragraphs and a greymap of its whole text, found by digest, with a caption."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    payload = media_sequences.payload_of(F.col("text"))
+    digest = F.sha2(media_sequences.payload_of(F.col("text")), 256)
     key = F.struct("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    page = F.concat(F.lit("<p>document</p><figure><img src='media:"), F.sha2(payload, 256), F.lit("'><figcaption>bytes of the text</figcaption></figure>"))
-    items = media_sequences.sequences(docs.select(key.alias("page"), page.alias("html")), "page")
+    caption = F.concat(F.lit("text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without id")))
+    items = media_sequences.sequences(docs.select(key.alias("page"), media_sequences.page_of(F.col("text"), digest, caption).alias("html")), "page")
     media = media_sequences.measure(media_sequences.media_table(docs))
-    found = media_sequences.resolve(items, "page", media).where("kind = 'media'")
+    found = media_sequences.resolve(items.withColumn("items", F.filter("items", lambda i: i["kind"] == "media")), "page", media)
     return found.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
@@ -114,7 +114,8 @@ from documents d left join n using (doc_id) join (select x, min(y) c from r grou
 with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws from documents),
 b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws from benchmark),
 bw as (select distinct item_id, least(13, len(ws)) len, unnest(list_transform(range(1, greatest(1, len(ws) - 12) + 1), lambda i: array_to_string(ws[i:i + 12], ' '))) win from b where len(ws) > 0),
-dw as (select doc_id, l.len, s.s, array_to_string(ws[s.s:s.s + l.len - 1], ' ') win from d, (select distinct len from bw) l, range(1, 100000) s(s) where s.s <= len(ws) - l.len + 1),
+ds as (select doc_id, ws, l.len, unnest(range(1, len(ws) - l.len + 2)) s from d, (select distinct len from bw) l where len(ws) >= l.len),
+dw as (select doc_id, len, s, array_to_string(ws[s:s + len - 1], ' ') win from ds),
 h as (select doc_id, s, len, item_id from dw join bw using (len, win)),
 c as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(s, s + len)) p from h) group by 1),
 i as (select doc_id, count(*) n_items, sha256(string_agg(item_id, ',' order by item_id)) items_sha256 from (select distinct doc_id, item_id::varchar item_id from h) group by 1)
@@ -123,7 +124,8 @@ select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coales
 from d left join c using (doc_id) left join i using (doc_id)""",
     "op10_line_windows": r"""
 with d as (select doc_id, string_split(text, chr(10)) ls from documents),
-w as (select doc_id, least(3, len(ls)) n, i.i pos, array_to_string(ls[i.i:i.i + least(3, len(ls)) - 1], chr(10)) w from d, range(1, 100000) i(i) where i.i <= len(ls) - least(3, len(ls)) + 1),
+v as (select doc_id, ls, least(3, len(ls)) n, unnest(range(1, len(ls) - least(3, len(ls)) + 2)) pos from d),
+w as (select doc_id, n, pos, array_to_string(ls[pos:pos + n - 1], chr(10)) w from v),
 f as (select *, row_number() over (partition by w, n order by doc_id, pos) k from w where regexp_matches(w, '[\p{L}\p{N}]')),
 g as (select distinct doc_id, unnest(range(pos, pos + n)) line from f where k > 1),
 x as (select doc_id, list(line) gone from g group by 1)

@@ -1,16 +1,16 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-Ids hash to cells of a ring; every shard owns ``vnodes`` points on it, and a cell belongs to the next point
+Keys (a row's id, size and checksum) hash to cells of a ring; every shard owns ``vnodes`` points on it, and a cell belongs to the next point
 clockwise.  A shard holds no more than its quota; the keys beyond it continue clockwise to the next shard with
 room.  With quotas that add up to the number of rows (``slack=0``) shard counts differ by one at most, which is
 the law ``rows``; a positive slack leaves more keys at home and moves fewer when a shard joins.
 
 Only the number of rows of each cell reaches the driver (``cells`` numbers at most); what comes back to the rows
 is one table of ranges, at most ``cells + 4 * n_shards * vnodes`` of them, which bounds the broadcast.  A row finds its
-range by its rank within its cell.  Equal rows are counted before they are shuffled and spread again after, so
-neither a repeated id nor repeated rows make a hot task.
+range by its rank within its cell.  Equal rows are counted before they are shuffled and spread again after, and rows of one
+id with different texts have different cells, so neither a repeated id nor repeated rows make a hot task.
 
-Defined cases: null text has 8 bytes and checksum 0; null ids share one cell; equal rows get different slots; an
+Defined cases: null text has 8 bytes and checksum 0; null ids are ids like others; equal rows get different slots; an
 empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -84,8 +84,8 @@ def ring_points(df: DataFrame, shards: int, vnodes: int, cells: int) -> list[tup
 def assign_shards(docs: DataFrame, *, n_shards: int = 24, vnodes: int = VNODES, cells: int = CELLS, slack: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")).withColumn("cell", cell_of("doc_id", cells=cells))
-    counts = {r["cell"]: r["n"] for r in docs.select(cell_of("doc_id", cells=cells).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")).withColumn("cell", cell_of("doc_id", "size", "text_crc32", cells=cells))
+    counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one number for each cell
     ranges = plan_ring(counts, ring_points(docs, n_shards, vnodes, cells), n_shards, slack, cells)
     table = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(ranges)), "array<struct<cell:int,lo:long,hi:long,shard:int,base:long>>")).alias("r")).select("r.*")
     same = rows.groupBy("cell", "doc_id", "size", "text_crc32").agg(F.count("*").alias("times"))

@@ -14,7 +14,11 @@ to the input at any size.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
+import re
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -38,6 +42,10 @@ cloudpickle.register_pickle_by_value(sys.modules["pixelwell.llm"])
 BLOCK_BYTES, BUCKET_BYTES, RUN_KEYS, KEY_BYTES = 8 << 20, 64 << 20, 64, 8
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
 @dataclass(frozen=True)
 class Layout:
     rows: int
@@ -48,17 +56,26 @@ class Layout:
     deal: int  # partitions to deal the rows to first, or 0
 
 
-def layout(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Layout:
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES: 10,000 rows of long texts would be hundreds of MB in both processes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def layout(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, block_bytes: int = BLOCK_BYTES) -> Layout:
     """Sizes from one pass over the texts' lengths.  ``bucket_bytes``: raw text whose keys a bucket takes.
 
     Rows are dealt anew only where one partition of the input holds more than two cores' share.
     """
+    bound_batches(docs.sparkSession)
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     parts = docs.select(size.alias("b"), F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     r = parts.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("b").alias("most")).first()
     rows, raw, cores = int(r["n"] or 0), int(r["b"] or 0), docs.sparkSession.sparkContext.defaultParallelism
     wide = math.isqrt(KEY_BYTES * RUN_KEYS * raw)
-    block = max(BLOCK_BYTES, wide)
+    block = max(block_bytes, wide)
     buckets = max(1, min(4 * cores, math.ceil(raw / (1 << 20))), math.ceil(raw / max(bucket_bytes, wide)))
     blocks = max(1, math.ceil(raw / block))
     uneven = int(r["most"] or 0) > max(1 << 20, 2 * raw / cores)
@@ -192,9 +209,12 @@ def exchange(rows: DataFrame, plan: Layout, ask: Callable, answer: Callable, fin
                 ],
                 ["home", "block", "content", "bucket", "k", "ask", "docs"],
             )
+            del kept, asked, part
+            give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         replies = answer(list(zip(table["k"].to_pylist(), table["ask"].to_pylist(), strict=True)))
+        give_back()
         return pa.table([pa.array(map(home_of, table["block"].to_pylist()), pa.int32()), table["block"], table["content"], table["bucket"], table["k"], pa.array(replies, pa.binary())], ["home", "block", "content", "bucket", "k", "answer"])
 
     def close(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -208,6 +228,7 @@ def exchange(rows: DataFrame, plan: Layout, ask: Callable, answer: Callable, fin
             if any(right["content"][i].as_py() != check for i in mine):
                 raise RuntimeError("the rows of a block changed between two runs of a task: write the documents to a table first")
             done.append(finish(kept, [(right["k"][i].as_py(), right["answer"][i].as_py()) for i in mine]).cast(out_schema))
+        give_back()
         return pa.concat_tables(done)
 
     def only(sent: DataFrame, condition: Column) -> DataFrame:
@@ -219,6 +240,14 @@ def exchange(rows: DataFrame, plan: Layout, ask: Callable, answer: Callable, fin
     return only(sent, F.col("docs").isNotNull()).groupBy("home").cogroup(back.groupBy("home")).applyInArrow(close, schema)
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system: workers are kept, and stages of one job share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def id_crc(col: str = "doc_id"):
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

@@ -51,7 +51,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, keep_ids: bool = False, ke
         return one
 
     def finish(split: Splitter, block: Block) -> pa.Table:
-        rule, pieces = split.tokenizer.decoder, split.pieces()
+        rule = split.tokenizer.decoder
+        pieces = split.pieces() if rule is not None else {}
         n_of = [int.from_bytes(x[:4], "little") for x in block.answers]
         flat = np.frombuffer(b"".join(x[4 : 4 + 4 * n] for x, n in zip(block.answers, n_of, strict=True)), "<u4")
         decoded_of = [x[4 + 4 * n :].decode() for x, n in zip(block.answers, n_of, strict=True)]

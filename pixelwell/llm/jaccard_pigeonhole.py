@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelwell.llm import blocks as B
-from pixelwell.llm.components import components
+from pixelwell.llm.components import components, gathered
 
 WIDTH, PART, WHOLE = 5, 80, 100
 GROWTH = 1.4
@@ -302,9 +302,11 @@ def shared_keys(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame
                     keys, at = np.unique(keys, return_index=True)
                     holder = holder[at]
                     holder[np.searchsorted(keys, met)] = met_ident
+                del values, order
                 runs = [(k, B.pack_sorted(keys[s:e]), B.pack_coded(holder[s:e])) for k, s, e in B.runs(B.bucket_of(keys, n_buckets))]
                 if runs:
                     yield batch(ids.type, len(runs), bucket=[r[0] for r in runs], run=[r[1] for r in runs], prints=[r[2] for r in runs])
+            B.give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         packed = table.filter(pc.is_valid(table["run"]))
@@ -318,7 +320,9 @@ def shared_keys(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame
         same = keys[1:] == keys[:-1]
         twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
         del order, same
-        ident, member, odd, times = shared_by(keys[twice], prints[twice])[:4]
+        keys, prints = keys[twice], prints[twice]
+        B.give_back()
+        ident, member, odd, times = shared_by(keys, prints)[:4]
         hits = {"fp": pa.array(member.view(np.int64)), "key": pa.array(ident.view(np.int64)), "odd": pa.array(odd, pa.int32()), "keys": pa.array(times, pa.int64())}
         return pa.concat_tables([plain, pa.table([hits[x.name] if x.name in hits else pa.nulls(len(ident), x.type) for x in plain.schema], plain.schema.names)])
 
@@ -332,18 +336,20 @@ def _with_partners(shared: DataFrame) -> DataFrame:
     Classes that share a first fingerprint share a key of that number (an even one).
     """
     classes = shared.where("key is null and n > 0").groupBy("fp").agg(F.min("even_need").alias("even_need"), F.min("odd_need").alias("odd_need"), F.min("fp2").alias("low"), F.max("fp2").alias("high"))
-    hits = shared.where("key is not null").groupBy("key", "fp", "odd").agg(F.sum("keys").alias("keys"))
-    hits = B.checkpointed(hits)
-    twins = classes.where("low <> high").select(F.col("fp").alias("key"), "fp", F.lit(2).alias("odd"), F.lit(2).cast("long").alias("keys"))
-    needs = B.checkpointed(classes.join(hits.select("fp").distinct(), "fp", "left_semi").select("fp", "even_need", "odd_need"))
+    hits = B.checkpointed(shared.where("key is not null").groupBy("key", "fp", "odd").agg(F.sum("keys").alias("keys")))
     before, now = math.inf, hits.count()
+    hits = gathered(hits, now)
+    needs = B.checkpointed(classes.join(hits.select("fp").distinct().withColumn("met", F.lit(True)), "fp", "left").where("met or low <> high"))
+    twins = needs.where("low <> high").select(F.col("fp").alias("key"), "fp")
+    needs = gathered(needs.select("fp", "even_need", "odd_need"), now)
     # Stopping early keeps more candidates and loses none.  Groups of classes (odd numbers) have no needs.
-    while now and now < 0.9 * before:
+    while now and now < 0.5 * before:
         enough = hits.groupBy("fp", "odd").agg(F.sum("keys").alias("met")).join(needs, "fp", "left").where("even_need is null or met >= if(odd = 1, odd_need, even_need)").select("fp", "odd")
         kept = hits.join(enough, ["fp", "odd"], "left_semi")
         hits = B.checkpointed(kept.join(kept.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "key", "left_semi").select(*hits.columns))
         before, now = now, hits.count()
-    return B.checkpointed(hits.select("key", "fp").distinct().unionAll(twins.select("key", "fp")))
+        hits = gathered(hits, now)
+    return gathered(hits.select("key", "fp").unionAll(twins), now)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -434,6 +440,7 @@ def _compare(rows: DataFrame, tasks: int, part: int, whole: int) -> DataFrame:
                 moved = label != np.arange(len(pick))
                 a.append(pick[moved])
                 b.append(pick[label[moved]])
+        B.give_back()
         ends = [ids.take(pa.array(np.concatenate(x))) for x in (a, b)]
         return pa.table([c.combine_chunks() for t in ends for c in t.columns], ["fp", "fp2", "to", "to2"])
 
@@ -456,6 +463,7 @@ def link_classes(docs: DataFrame, shared: DataFrame, width: int, part: int, whol
     reps = shared.where("key is null and n > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"))
     sets = _sets_of(docs, reps.join(hits.select("fp").distinct(), "fp", "left_semi"), width)
     held = B.checkpointed(sets.select("fp", "fp2", "n").join(_families(hits), "fp"))
+    held = gathered(held, held.count())
     sized = held.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min(F.struct("fp", "fp2")).alias("first"))
     sized = B.checkpointed(sized.withColumn("parts", _parts(F.col("size"), F.col("total"))))
     t = sized.agg(F.sum("size").alias("n"), F.sum("total").alias("items"), F.max("parts").alias("parts")).first()
@@ -496,6 +504,8 @@ def _rest_of_large(hits: DataFrame, rows: DataFrame, labels: DataFrame) -> DataF
     ident = F.struct("fp", "fp2")
     labels = labels.select("node.fp", "node.fp2", "label")
     known = B.checkpointed(rows.select("fp", "fp2", "family", "n").join(labels, ["fp", "fp2"], "left").withColumn("label", F.coalesce("label", ident)))
+    few = known.count()
+    known = gathered(known, few)
     of_class = known.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     # The classes that a group stands for; the group's key has its number.
     inside = hits.where("key <> fp or fp % 2 = 0").join(of_class, "fp").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -503,17 +513,18 @@ def _rest_of_large(hits: DataFrame, rows: DataFrame, labels: DataFrame) -> DataF
     nodes = of_class.unionAll(of_group).groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     mixed = hits.join(nodes, "fp").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
     left = B.checkpointed(hits.join(mixed, "key", "left_semi"))
-    if left.isEmpty():
+    if not (n_left := left.count()):
         return None
+    left = gathered(left, n_left)
     again = known.drop("family").join(_families(left).withColumnRenamed("family", "sub"), "fp")
-    again = B.checkpointed(again)
+    again = gathered(B.checkpointed(again), few)
     size = again.groupBy("sub").agg(F.count("*").alias("size"), F.sum("n").alias("total")).withColumn("parts", _parts(F.col("size"), F.col("total")))
     each = again.groupBy("sub", "label").agg(F.count("*").alias("mine"), F.sum("n").alias("total")).withColumn("own_parts", _parts(F.col("mine"), F.col("total"))).drop("total")
     # A component of more than one part has parts of its own; smaller ones share parts.
     placed = again.join(each, ["sub", "label"]).join(size.select("sub", "parts"), "sub")
     big = F.col("own_parts") > 1
     placed = placed.withColumn("big", F.when(big, F.col("label"))).withColumn("own", F.when(big, F.xxhash64("label", F.pmod(F.xxhash64("fp", "fp2", F.lit(3)), F.col("own_parts")))).otherwise(F.pmod(F.xxhash64("label"), F.col("parts"))))
-    placed = B.checkpointed(placed.select("sub", "fp", "fp2", "big", "own"))
+    placed = gathered(B.checkpointed(placed.select("sub", "fp", "fp2", "big", "own")), few)
     parts = placed.select("sub", "big", "own").distinct()
     two = parts.select("sub", F.col("own").alias("i"), F.col("big").alias("x")).join(parts.select("sub", F.col("own").alias("j"), F.col("big").alias("y")), "sub")
     # Two parts of one component have nothing left to find; a shared part is compared with itself by every pair it is in, or alone.

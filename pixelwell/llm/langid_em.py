@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelwell.llm import blocks  # noqa: F401  (functions here travel by value)
+from pixelwell.llm import blocks  # functions here travel by value
 
 BITS, PENALTY, ROUNDS, ALPHA = 15, 2.0, 200, 0.5
 #: Bytes of a long text that are worked on at once.
@@ -74,6 +74,7 @@ def fit_languages(docs: DataFrame, learn: Column) -> tuple[list[str], np.ndarray
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "gram", "n"])
 
+    blocks.bound_batches(docs.sparkSession)
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & learn).select("lang", "text")
     got = rows.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got["lang"].to_pylist()))

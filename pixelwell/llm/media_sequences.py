@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelwell.llm import blocks  # noqa: F401  (functions here travel by value)
+from pixelwell.llm import blocks  # functions here travel by value
 
 WIDTH = 192
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -143,6 +143,7 @@ def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([parse_page(x) for x in b.column("html").to_pylist()], kind)], ["key", "items"])
 
+    blocks.bound_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(html).alias("html"))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, items {ITEMS}").withColumnRenamed("key", key)
 

@@ -132,6 +132,7 @@ def _inputs(docs: DataFrame, metadata: tuple[str, ...]) -> list[Column]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "quality", metadata: tuple[str, ...] = (), max_train_docs: int = MAX_TRAIN_DOCS) -> Machine:
     """Fits on at most ``max_train_docs`` labelled rows for which ``learn`` (over doc_id) holds."""
+    blocks.bound_batches(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).select("doc_id", F.col(label).cast("double").alias("label"))
     chosen = chosen.groupBy("doc_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
     rows = docs.select(*_inputs(docs, metadata)).join(F.broadcast(chosen), "doc_id")  # broadcast: max_train_docs rows at most

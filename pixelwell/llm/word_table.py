@@ -21,6 +21,10 @@ from pixelwell.llm import blocks as B
 from pixelwell.llm.tokens import Splitter
 
 
+#: Raw text of a block here: its distinct words are Python strings.
+BLOCK_BYTES = 4 << 20
+
+
 @dataclass
 class Block:
     """A block's documents: ids, raw bytes, and entries (word numbers, and how often if counted) of each in turn."""
@@ -36,13 +40,13 @@ class Block:
         return np.cumsum(self.entries)
 
 
-def _numbered(texts: list, split: Callable, counted: bool):
+def _numbered(texts: pa.ChunkedArray, split: Callable, counted: bool):
     """Words in the order of their numbers, and the entries of all texts."""
     number: defaultdict[str, int] = defaultdict()
     number.default_factory = number.__len__
     words, times, entries = [], [], []
     for text in texts:
-        found = split(text or "")
+        found = split(text.as_py() or "")
         if counted:
             found = Counter(found)
             times.append(np.fromiter(found.values(), np.uint32, len(found)))
@@ -57,11 +61,18 @@ def per_distinct_word(docs: DataFrame, spec: str, work: Callable, finish: Callab
 
     ``counted``: a document is its distinct words with their frequencies, in place of its words in order.
     """
-    plan = B.layout(docs)
+    plan = B.layout(docs, block_bytes=BLOCK_BYTES)
     n = plan.buckets
+    made: list[Splitter] = []
+
+    def splitter() -> Splitter:
+        """One for each task."""
+        if not made:
+            made.append(Splitter(spec))
+        return made[0]
 
     def ask(part: pa.Table):
-        found, entries, numbers, times = _numbered(part["text"].to_pylist(), Splitter(spec).words, counted)
+        found, entries, numbers, times = _numbered(part["text"], splitter().words, counted)
         raw = [w.encode() for w in found]
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n for w in raw), np.int64, len(raw))
         order = np.argsort(bucket, kind="stable")
@@ -73,7 +84,7 @@ def per_distinct_word(docs: DataFrame, spec: str, work: Callable, finish: Callab
         return B.frame(kept), [(k, 0, B.pack_strings([raw[i] for i in order[s:e].tolist()])) for k, s, e in B.runs(bucket[order])]
 
     def answer(asked: list) -> list[bytes]:
-        one, known, out = work(Splitter(spec)), {}, []
+        one, known, out = work(splitter()), {}, []
         for _, blob in asked:
             words = B.unpack_strings(blob)
             for w in words:
@@ -87,6 +98,6 @@ def per_distinct_word(docs: DataFrame, spec: str, work: Callable, finish: Callab
         head = B.unpack_table(head)
         answers = [x for _, blob in replies for x in B.unpack_strings(blob)]
         times = B.unpack_ints(times[0], np.uint32) if counted else None
-        return finish(Splitter(spec), Block(head["doc_id"], head["n_bytes"].to_numpy(), head["entries"].to_numpy(), B.unpack_ranked([ranks, order]), times, answers))
+        return finish(splitter(), Block(head["doc_id"], head["n_bytes"].to_numpy(), head["entries"].to_numpy(), B.unpack_ranked([ranks, order]), times, answers))
 
     return B.exchange(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), plan, ask, answer, close, schema)

@@ -123,6 +123,22 @@ def test_large_families_and_hot_keys(spark, monkeypatch):
         assert [out[k] for k in range(len(rows))] == want, (chunk, slice_bytes)
 
 
+def test_components_by_shuffles_and_in_one_task(spark):
+    from pixelwell.llm.components import components
+
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]
+    want = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in want:
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    links = spark.createDataFrame(pairs, "a long, b long")
+    for bound in (None, 0):
+        out = components(links, bound).collect()
+        assert {r.node: r.label for r in out if r.node != r.label} == {k: v for k, v in want.items() if k != v}
+
+
 def test_linked_within_equals_pairs():
     rng = np.random.default_rng(1)
     core = rng.integers(1, 1 << 60, 100, dtype=np.uint64)

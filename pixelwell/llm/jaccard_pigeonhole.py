@@ -20,8 +20,7 @@ classes share it, both are compared.  Keys meet in hash buckets as packed runs;
 are grouped there already and send the key once, as a node of their own, so a key has no more entries in its bucket
 than there are slices.  Classes that share keys, directly or through others, are a family; in a small family all sets are
 compared exactly, as differences from what most of them hold.  A large family is first cut into parts, each compared with
-some pivots too; keys within one component that this finds are done, and what is left is compared part by part, but
-for parts of one component.
+some pivots too; then its parts are compared two by two, but for parts of one component that this has found.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; a text with fewer words
 than an n-gram is one n-gram; repeated rows and null ids are linked by their sets like any others (a component's id
@@ -472,11 +471,11 @@ def link_classes(docs: DataFrame, shared: DataFrame, width: int, part: int, whol
     small = members.where("parts = 1").withColumn("task", F.pmod(F.xxhash64("family"), F.lit(tasks)))
     links = _compare(small, tasks, part, whole)
     if int(t["parts"] or 0) > 1:
-        links = links.unionAll(_large(hits, members.where("parts > 1"), sets, tasks, part, whole))
+        links = links.unionAll(_large(members.where("parts > 1"), sets, tasks, part, whole))
     return B.checkpointed(components(links).select("node.fp", "node.fp2", "label"))
 
 
-def _large(hits: DataFrame, members: DataFrame, sets: DataFrame, tasks: int, part: int, whole: int) -> DataFrame:
+def _large(members: DataFrame, sets: DataFrame, tasks: int, part: int, whole: int) -> DataFrame:
     """Links within large families (members: family, size, parts, first, fp, fp2, n, items)."""
 
     def differ(batches):
@@ -493,44 +492,31 @@ def _large(hits: DataFrame, members: DataFrame, sets: DataFrame, tasks: int, par
     pivots = rows.where(is_pivot).withColumn("own", own).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("at <> own").drop("own")
     first = rows.withColumn("at", own).unionByName(pivots).withColumn("task", F.xxhash64("family", "at"))
     links = _compare(first, tasks, part, whole)
-    rest = _rest_of_large(hits, rows, components(links))
+    rest = _rest_of_large(rows, components(links))
     if rest is None:
         return links
     return links.unionAll(_compare(rest, tasks, part, whole))
 
 
-def _rest_of_large(hits: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Tasks that compare the classes of large families which share a key across components, or None if no key does."""
-    ident = F.struct("fp", "fp2")
-    labels = labels.select("node.fp", "node.fp2", "label")
-    known = B.checkpointed(rows.select("fp", "fp2", "family", "n").join(labels, ["fp", "fp2"], "left").withColumn("label", F.coalesce("label", ident)))
+def _rest_of_large(rows: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Tasks that compare large families part by part, but for two parts of one component; None if all are connected."""
+    known = rows.select("family", "parts", "fp", "fp2", "n").join(labels.select("node.fp", "node.fp2", "label"), ["fp", "fp2"], "left")
+    known = B.checkpointed(known.withColumn("label", F.coalesce("label", F.struct("fp", "fp2"))))
     few = known.count()
     known = gathered(known, few)
-    of_class = known.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    # The classes that a group stands for; the group's key has its number.
-    inside = hits.where("key <> fp or fp % 2 = 0").join(of_class, "fp").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    of_group = hits.where("key = fp and fp % 2 <> 0").select("fp").join(inside.withColumnRenamed("key", "fp"), "fp").select("fp", "low", "high")
-    nodes = of_class.unionAll(of_group).groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    mixed = hits.join(nodes, "fp").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
-    left = B.checkpointed(hits.join(mixed, "key", "left_semi"))
-    if not (n_left := left.count()):
-        return None
-    left = gathered(left, n_left)
-    again = known.drop("family").join(_families(left).withColumnRenamed("family", "sub"), "fp")
-    again = gathered(B.checkpointed(again), few)
-    size = again.groupBy("sub").agg(F.count("*").alias("size"), F.sum("n").alias("total")).withColumn("parts", _parts(F.col("size"), F.col("total")))
-    each = again.groupBy("sub", "label").agg(F.count("*").alias("mine"), F.sum("n").alias("total")).withColumn("own_parts", _parts(F.col("mine"), F.col("total"))).drop("total")
+    each = known.groupBy("family", "label").agg(F.count("*").alias("mine"), F.sum("n").alias("total")).withColumn("own_parts", _parts(F.col("mine"), F.col("total"))).drop("mine", "total")
     # A component of more than one part has parts of its own; smaller ones share parts.
-    placed = again.join(each, ["sub", "label"]).join(size.select("sub", "parts"), "sub")
     big = F.col("own_parts") > 1
-    placed = placed.withColumn("big", F.when(big, F.col("label"))).withColumn("own", F.when(big, F.xxhash64("label", F.pmod(F.xxhash64("fp", "fp2", F.lit(3)), F.col("own_parts")))).otherwise(F.pmod(F.xxhash64("label"), F.col("parts"))))
-    placed = gathered(B.checkpointed(placed.select("sub", "fp", "fp2", "big", "own")), few)
-    parts = placed.select("sub", "big", "own").distinct()
-    two = parts.select("sub", F.col("own").alias("i"), F.col("big").alias("x")).join(parts.select("sub", F.col("own").alias("j"), F.col("big").alias("y")), "sub")
-    # Two parts of one component have nothing left to find; a shared part is compared with itself by every pair it is in, or alone.
-    two = two.where("(i < j and (x is null or y is null or x <> y)) or (i = j and x is null)")
-    two = two.select("sub", F.xxhash64("sub", "i", "j").alias("task"), F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
-    return placed.join(two, ["sub", "own"]).select("task", F.col("sub").alias("family"), "fp", "fp2").join(rows.select("fp", "fp2", "n", "items"), ["fp", "fp2"])
+    placed = known.join(each, ["family", "label"]).withColumn("big", F.when(big, F.col("label"))).withColumn("own", F.when(big, F.xxhash64("label", F.pmod(F.xxhash64("fp", "fp2", F.lit(3)), F.col("own_parts")))).otherwise(F.pmod(F.xxhash64("label"), F.col("parts"))))
+    placed = gathered(B.checkpointed(placed.select("family", "fp", "fp2", "label", "big", "own")), few)
+    parts = placed.groupBy("family", "big", "own").agg((F.min("label") < F.max("label")).alias("mixed"))
+    two = parts.select("family", F.col("own").alias("i"), F.col("big").alias("x"), "mixed").join(parts.select("family", F.col("own").alias("j"), F.col("big").alias("y")), "family")
+    # Two parts of one component have nothing left to find.
+    two = two.where("(i < j and (x is null or y is null or x <> y)) or (i = j and mixed)")
+    two = B.checkpointed(two.select("family", F.xxhash64("family", "i", "j").alias("task"), F.explode(F.array_distinct(F.array("i", "j"))).alias("own")))
+    if two.isEmpty():
+        return None
+    return placed.join(two, ["family", "own"]).select("task", "family", "fp", "fp2").join(rows.select("fp", "fp2", "n", "items"), ["fp", "fp2"])
 
 
 def near_groups(docs: DataFrame, *, width: int = WIDTH, part: int = PART, whole: int = WHOLE) -> DataFrame:

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The R factor of all rows that a task reads, merged batch by batch: as many rows as columns at most."""
+    r = None
+    for pdf in batches:
+        rows = pdf.to_numpy(np.float64)
+        if len(rows):
+            r = np.linalg.qr(rows if r is None else np.vstack((r, rows)), mode="r")
+    if r is not None:
+        yield pd.DataFrame(r, columns=[f"c{i}" for i in range(r.shape[1])])
+
+
 def least_squares(df: DataFrame, a: list[str], b: list[str]) -> np.ndarray:
-    """The len(a) x len(b) matrix X of least norm that minimises |A X - B|.
+    """The len(a) x len(b) matrix X of least norm that minimises |A X - B|; rows with nulls are left out, without rows X is 0.
 
-    Only sums of products reach the driver: len(a) * (len(a) + len(b)) numbers whatever the number of rows.
+    Tasks reduce [A | B] to triangles of len(a) + len(b) rows, which are merged; normal equations, which square the
+    condition number, aren't formed.
     """
     if not a or not b:
         raise ValueError("both sides need columns")
-    d = lambda c: F.col(c).cast("double")
-    rows = df.dropna(subset=[*a, *b])
-    scale = rows.agg(*[F.max(F.abs(d(c))).alias(f"s{i}") for i, c in enumerate(a)]).first()
-    s = np.array([x or 1.0 for x in scale])
-    got = rows.agg(*[F.sum(d(x) / s[i] * (d(y) / s[j])).alias(f"n{i}_{j}") for i, x in enumerate(a) for j, y in enumerate(a)], *[F.sum(d(x) / s[i] * d(y)).alias(f"r{i}_{j}") for i, x in enumerate(a) for j, y in enumerate(b)]).first()
-    flat = np.array([0.0 if v is None else v for v in got])
+    rows = df.dropna(subset=[*a, *b]).select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*a, *b])])
+    got = rows.mapInPandas(_triangles, rows.schema).repartition(1).mapInPandas(_triangles, rows.schema).toPandas().to_numpy(np.float64)
     k = len(a)
-    return np.linalg.pinv(flat[: k * k].reshape(k, k)) @ flat[k * k :].reshape(k, len(b)) / s[:, None]
+    if not len(got):
+        return np.zeros((k, len(b)))
+    return np.linalg.lstsq(got[:k, :k], got[:k, k:], rcond=None)[0]
 
 
 def simple_fit(df: DataFrame, x: str, ys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ def require_columns(df: DataFrame, expected: dict[str, type[T.DataType]]) -> Dat
     have = {f.name: f.dataType for f in df.schema.fields}
     for name, kind in expected.items():
         if name not in have or not isinstance(have[name], kind):
-            raise TypeError(f"Unexpected data type ({have.get(name, 'none')}) received for {name}. Expected {kind.__name__}")
+            raise TypeError(f"column {name} is {have.get(name, 'missing')}. Expected {kind.__name__}")
     return df
 
 
@@ -43,14 +45,23 @@ def read_images(spark: SparkSession, root: str, *, keep_invalid: bool = False) -
 
 
 def bytes_to_ints(data: Column, n: Column) -> Column:
-    """The unsigned bytes of a binary column as an array."""
-    h = F.hex(data)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    """The first n unsigned bytes of a binary column as an array; null without data."""
+
+    @F.pandas_udf("array<int>")
+    def run(raw: pd.Series, count: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else np.frombuffer(x, np.uint8)[: int(c)].astype(np.int32) for x, c in zip(raw, count, strict=True)])
+
+    return run(data, n)
 
 
 def channel(data: Column, pixels: Column, channels: int, k: int) -> Column:
-    all_ = bytes_to_ints(data, pixels * channels)
-    return F.transform(F.sequence(F.lit(0), pixels - 1), lambda i: F.get(all_, i * channels + k))
+    """Every ``channels``-th byte from the k-th on, one for each pixel."""
+
+    @F.pandas_udf("array<int>")
+    def run(raw: pd.Series, count: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else np.frombuffer(x, np.uint8)[k::channels][: int(c)].astype(np.int32) for x, c in zip(raw, count, strict=True)])
+
+    return run(data, pixels)
 
 
 def read_annotations(spark: SparkSession, root: str) -> DataFrame:

@@ -103,11 +103,23 @@ def test_constant_image_has_no_valid_block(spark):
 
 def test_least_squares_without_full_rank(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 4.0, 6.0)], "a double, b double, y double")
-    assert linalg.least_squares(df, ["a", "b"], ["y"]).sum() > 0
+    assert linalg.least_squares(df, ["a", "b"], ["y"]).ravel() == pytest.approx([0.6, 1.2])
+    assert (linalg.least_squares(df.where("false"), ["a", "b"], ["y"]) == 0).all()
+    close = spark.createDataFrame([(float(k), k + 1e-6 * (k % 3), 2.0 * k - (k + 1e-6 * (k % 3))) for k in range(1, 40)], "a double, b double, y double")
+    assert linalg.least_squares(close, ["a", "b"], ["y"]).ravel() == pytest.approx([2, -1], rel=1e-6)
     x = linalg.least_squares(df.withColumn("one", F.lit(1.0)), ["a", "one"], ["y"])
     assert x[0, 0] == pytest.approx(3) and x[1, 0] == pytest.approx(0, abs=1e-9)
 
 
+def test_bytes_of_a_whole_image(spark):
+    from pixelwell.sources.readers import bytes_to_ints, channel
+
+    raw = bytes(k * 7 % 256 for k in range(128 * 64 * 3))
+    df = spark.createDataFrame([(1, bytearray(raw)), (2, None)], "id int, data binary")
+    rows = df.select("id", bytes_to_ints(F.col("data"), F.lit(len(raw))).alias("all"), channel(F.col("data"), F.lit(128 * 64), 3, 1).alias("green")).orderBy("id").collect()
+    assert rows[0]["all"] == list(raw) and rows[0]["green"] == list(raw[1::3]) and rows[1]["all"] is None and rows[1]["green"] is None
+
+
 def test_schema_and_columns(spark):
     df = spark.createDataFrame([(1, "a")], "x int, s string")
     assert ml.numeric_columns(df) == ["x"]

@@ -42,6 +42,20 @@ def disc(px: DataFrame, r: float, c: float, radius: float) -> DataFrame:
     return px.where((F.col("r") - r) * (F.col("r") - r) + (F.col("c") - c) * (F.col("c") - c) <= radius * radius)
 
 
+def kept(contours: DataFrame, keep: Column) -> DataFrame:
+    """The contours that a mask keeps; a null mask keeps none."""
+    return contours.where(F.coalesce(keep, F.lit(False)))
+
+
+def colour_by_cluster(points: DataFrame, assignments: DataFrame, contour: str, palette: list[tuple[int, int, int]]) -> DataFrame:
+    """points with the cluster of their contour and the colour that the palette, used in turn, has for it.
+
+    assignments: contour, cluster, one row for each contour; points of contours without a cluster go.
+    """
+    table = F.array(*[F.array(*map(F.lit, c)) for c in palette])
+    return points.join(assignments.select(contour, "cluster"), contour).withColumn("colour", F.get(table, F.pmod(F.col("cluster"), F.lit(len(palette))).cast("int")))
+
+
 def projection(vector: str, n: int, seed: int = 1) -> Column:
     """A fixed projection of an n-vector: sine weights, so no random state is kept."""
     return F.aggregate(F.zip_with(vector, F.sequence(F.lit(1), F.lit(n)), lambda e, i: e.cast("double") * F.sin(i * F.lit(float(seed)))), F.lit(0.0), lambda a, y: a + y)

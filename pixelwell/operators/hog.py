@@ -64,9 +64,10 @@ def angle_unsigned(r: Column, c: Column) -> Column:
 def gradients(images: DataFrame, key: str, p: str, s: Scheme) -> DataFrame:
     """key, r, c, gr, gc for the inner pixels of every cell."""
     w = s.width
-    inner = [r * w + c for r in range(s.height) for c in range(w) if 0 < r % s.cell < s.cell - 1 and 0 < c % s.cell < s.cell - 1]
+    within = lambda x: (x % s.cell).between(1, s.cell - 2)
+    inner = F.filter(F.sequence(F.lit(0), F.lit(w * s.height - 1)), lambda i: within(F.floor(i / w)) & within(i % w))
     at = lambda i: F.get(p, i)
-    cells = F.transform(F.array(*map(F.lit, inner)), lambda i: F.struct(F.floor(i / w).cast("int").alias("r"), (i % w).cast("int").alias("c"), ((at(i + w) - at(i - w)) * F.lit(0.5)).alias("gr"), ((at(i + 1) - at(i - 1)) * F.lit(0.5)).alias("gc")))
+    cells = F.transform(inner, lambda i: F.struct(F.floor(i / w).cast("int").alias("r"), (i % w).cast("int").alias("c"), ((at(i + w) - at(i - w)) * F.lit(0.5)).alias("gr"), ((at(i + 1) - at(i - 1)) * F.lit(0.5)).alias("gc")))
     return images.select(key, F.explode(cells).alias("g")).select(key, "g.*")
 
 

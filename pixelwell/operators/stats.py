@@ -82,16 +82,23 @@ def cum_pdf(hist: DataFrame, *by: str) -> DataFrame:
     return hist.withColumn("cp", F.sum("n").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)).cast("double") / F.sum("n").over(w))
 
 
-def inverse_cdf(draws: DataFrame, p: str, cdf: DataFrame, by: str, low: float, width: float) -> DataFrame:
-    """For every draw and group, the left edge of the first bin whose cp reaches p.
+def inverse_cdf(draws: DataFrame, p: str, cdf: DataFrame, by: str, groups: list, low: float, width: float) -> DataFrame:
+    """For every draw and each of the given groups, the left edge of the first bin whose cp reaches p.
 
-    A group's distribution is one array of at most as many entries as bins, so it is looked up, not range-joined.
+    A group's distribution is one array of at most as many entries as bins, so it is looked up, not range-joined; the
+    broadcast table has a row for each given group.  A group without a distribution has no rows.
     """
-    table = cdf.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("bin", "cp"))).alias("__c"))
-    rows = draws.crossJoin(F.broadcast(table))
+    table = cdf.where(F.col(by).isin(groups)).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("bin", "cp"))).alias("__c"))
+    rows = draws.withColumn(by, F.explode(F.array(*map(F.lit, groups)))).join(F.broadcast(table), by)
     first = F.get(F.filter("__c", lambda x: x["cp"] >= F.col(p)), F.lit(0))["bin"]
     return rows.withColumn("x", F.lit(low) + first * F.lit(width)).drop("__c")
 
 
+def uniform(key: Column, seed: int) -> Column:
+    """A uniform number in 0..1, both ends included, from a row's key and the seed alone; null for a null key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52 - 1))
+
+
 def mixture_draw(u: Column, x1: Column, x2: Column) -> Column:
     return F.when(u < 0.5, x1).otherwise(x2)

@@ -114,14 +114,18 @@ def cum_pdf(spark, sf):
     return stats.cum_pdf(stats.histogram_fixed(read(spark, sf, "events"), "value", 30, 0, 600, "event_type"), "event_type").withColumn("cp", r6(F.col("cp")))
 
 
-CDF = "b as (select l_returnflag f, cast(least(99, floor((l_quantity - 1) / 0.49::double)) as int) bin, count(*) n from lineitem group by 1, 2), c as (select f, bin, sum(n) over (partition by f order by bin)::double / sum(n) over (partition by f) cp, 1 + bin * 0.49::double edge from b), d as (select event_id, (event_id * 7919 % 10007) / 10007::double p from events where event_id < 500), x as (select d.event_id, p, c.f, min(edge) x from d join c on c.cp >= d.p group by 1, 2, 3)"
+CDF = "b as (select l_returnflag f, cast(least(99, floor((l_quantity - 1) / 0.49::double)) as int) bin, count(*) n from lineitem group by 1, 2), c as (select f, bin, sum(n) over (partition by f order by bin)::double / sum(n) over (partition by f) cp, 1 + bin * 0.49::double edge from b), d as (select event_id, (event_id * 7919 % 10007) / 10007::double p from events), x as (select d.event_id, p, c.f, min(edge) x from d join c on c.cp >= d.p group by 1, 2, 3)"
+
+
+#: All values of l_returnflag that its table's specification allows.
+RETURN_FLAGS = ["A", "N", "R"]
 
 
 def _drawn(spark, sf):
     lines = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("f"), "l_quantity")
     cdf = stats.cum_pdf(stats.histogram_fixed(lines, "l_quantity", 100, 1, 50, "f"), "f")
-    draws = read(spark, sf, "events").where("event_id < 500").select("event_id", ((F.col("event_id") * 7919 % 10007) / F.lit(10007.0)).alias("p"))
-    return stats.inverse_cdf(draws, "p", cdf, "f", 1.0, 0.49)
+    draws = read(spark, sf, "events").select("event_id", ((F.col("event_id") * 7919 % 10007) / F.lit(10007.0)).alias("p"))
+    return stats.inverse_cdf(draws, "p", cdf, "f", RETURN_FLAGS, 1.0, 0.49)
 
 
 @query(f"with {CDF} select event_id, f, round(x, 6) x from x")
@@ -136,9 +140,20 @@ def mixture_draw(spark, sf):
     return x.select("event_id", dim.alias("d")).select("event_id", r6(F.col("d")).alias("dim"), r6(300 * F.col("d") / 50).alias("w"), r6(300 * F.col("d") / 50 / 2).alias("h"))
 
 
+@query("select event_id, round(('0x' || substr(md5('42:' || event_id), 1, 13))::bigint / 4503599627370495::double, 9) u from events")
+def seeded_uniform(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.round(stats.uniform(F.col("event_id"), 42), 9).alias("u"))
+
+
 # ------------------------------------------------------------------ pixels
 
 
+@query(f"with {PX} select vec_id, c i, v from px where r = 2 * c and c < 5")
+def pixel_samples(spark, sf):
+    rows = images(spark, sf).select("vec_id", F.posexplode(pixels.sample_diagonal(F.col("p"), 8)).alias("i", "v"))
+    return rows.where("v is not null")
+
+
 @query(f"with {PX} select vec_id, r, c, floor(pow(v / 255::double, 1 / 2.2::double) * 255 + 0.5::double)::int v from px")
 def gamma_correct(spark, sf):
     return long_form(images(spark, sf).withColumn("p", pixels.gamma_correct(F.col("p"))), "p", 8)
@@ -209,7 +224,7 @@ def hough_circles(spark, sf):
 
 # ------------------------------------------------------------------ gradients
 
-GRAD = "g as (select a.vec_id, a.r, a.c, (d.v - u.v) * 0.5::double gr, (e.v - l.v) * 0.5::double gc from px a join px u on u.vec_id = a.vec_id and u.r = a.r - 1 and u.c = a.c join px d on d.vec_id = a.vec_id and d.r = a.r + 1 and d.c = a.c join px l on l.vec_id = a.vec_id and l.r = a.r and l.c = a.c - 1 join px e on e.vec_id = a.vec_id and e.r = a.r and e.c = a.c + 1 where a.r % 4 in (1, 2) and a.c % 4 in (1, 2))"
+GRAD = "im as (select vec_id, list_transform(embedding, lambda e: cast(least(255, greatest(0, floor((e::double + 1) * 127.5::double + 0.5::double))) as int)) p from embeddings), g as (select vec_id, r, c, (p[(r + 1) * 8 + c + 1] - p[(r - 1) * 8 + c + 1]) * 0.5::double gr, (p[r * 8 + c + 2] - p[r * 8 + c]) * 0.5::double gc from im, (select x.range::int r, y.range::int c from range(8) x, range(8) y) o where r % 4 in (1, 2) and c % 4 in (1, 2))"
 UNSIGNED = "case when gr = 0 then pi() / 2 when gc = 0 then case when gr > 0 then pi() else 0 end else atan(gr / gc) + pi() / 2 end"
 AM = f"am as (select vec_id, r, c, (r // 4 * 2 + c // 4)::int cell, {UNSIGNED} a, sqrt(gr * gr + gc * gc) m from g)"
 HIST = "t as (select *, a / (pi() / 9) - 0.5::double t from am), w as (select vec_id, cell, cast(greatest(0, least(8, floor(t))) as int) bin, m * (1 - (t - floor(t))) w from t union all select vec_id, cell, cast(greatest(0, least(8, floor(t) + 1)) as int), m * (t - floor(t)) from t), h as (select vec_id, cell, bin, sum(w) w from w group by 1, 2, 3)"
@@ -389,18 +404,26 @@ def lsh_bucket(spark, sf):
     return cluster.lsh_pairs(e, "vec_id", "bucket", "label")
 
 
+@query("select vec_id, (label % 4)::int as cluster, case when label % 4 % 3 = 0 then 255 else 0 end b, case when label % 4 % 3 = 1 then 255 else 0 end g, case when label % 4 % 3 = 2 then 255 else 0 end r from embeddings where label % 5 <> 0")
+def contour_colours(spark, sf):
+    points = read(spark, sf, "embeddings").select("vec_id", "label")
+    contours = points.select("label", (F.col("label") % 4).cast("int").alias("cluster")).distinct()
+    rows = cluster.colour_by_cluster(points, cluster.kept(contours, F.col("label") % 5 != 0), "label", [(255, 0, 0), (0, 255, 0), (0, 0, 255)])
+    return rows.select("vec_id", "cluster", *[F.get("colour", F.lit(k)).alias(c) for k, c in enumerate("bgr")])
+
+
 @query()
 def lsh_similarity_join(spark, sf):
     return cluster.lsh_similarity_join(read(spark, sf, "embeddings"), "vec_id", "embedding", 1.05)
 
 
-@query("""with pts as (select cast(s_suppkey % 10 as int) pid, cast(s_suppkey // 10 as int) img, s_acctbal / 100::double x, cast(s_nationkey as double) y from supplier where s_suppkey < 60),
+@query("""with pts as (select cast(s_suppkey % 10 as int) pid, cast(s_suppkey // 10 as int) img, s_acctbal / 100::double x, cast(s_nationkey as double) y from supplier),
 bas as (select a.img, a.pid i, b.pid j, a.x ox, a.y oy, b.x - a.x ux, b.y - a.y uy, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) n from pts a join pts b on a.img = b.img and a.pid <> b.pid),
 ky as (select b.img, b.i, b.j, cast(floor(((p.x - b.ox) * b.ux + (p.y - b.oy) * b.uy) / b.n / 0.25::double + 0.5::double) as int) ku, cast(floor(((p.y - b.oy) * b.ux - (p.x - b.ox) * b.uy) / b.n / 0.25::double + 0.5::double) as int) kv from bas b join pts p on p.img = b.img and p.pid <> b.i and p.pid <> b.j where b.n > 0),
 v as (select q.i qi, q.j qj, t.img timg, t.i ti, t.j tj, count(*) votes from ky q join ky t on q.ku = t.ku and q.kv = t.kv where q.img = 0 and t.img > 0 group by 1, 2, 3, 4, 5)
 select qi, qj, timg, ti, tj, votes from (select *, row_number() over (partition by qi, qj order by votes desc, timg, ti, tj) rn from v) z where rn = 1""")
 def geometric_hash_vote(spark, sf):
-    s = read(spark, sf, "supplier").where("s_suppkey < 60")
+    s = read(spark, sf, "supplier")
     pts = s.select((F.col("s_suppkey") % 10).cast("int").alias("pid"), F.floor(F.col("s_suppkey") / 10).cast("int").alias("img"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
     return cluster.geometric_hash_votes(pts, 0, 0.25)
 

@@ -32,7 +32,7 @@ def list_files(spark: SparkSession, root: str, *, images_only: bool = True, skip
     if images_only:
         df = df.where(F.col("path").rlike(IMAGE))
     if skip_folder:
-        df = df.where(~F.col("path").rlike(f"{skip_folder}/[^/]+$"))
+        df = df.where(~F.element_at(F.split("path", "/"), -2).endswith(skip_folder))
     if skip_stem:
         df = df.where(~stem(F.col("path")).endswith(skip_stem))
     return df
@@ -82,16 +82,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return (r.schema(schema) if schema else r.option("inferSchema", "true")).csv(path)
 
 
-def image_mask_pairs(images: DataFrame, masks: DataFrame, prefix: str = "skindetect-") -> DataFrame:
+def image_mask_pairs(images: DataFrame, masks: DataFrame, prefix: str) -> DataFrame:
     """Images with the mask whose stem is the image's with a prefix."""
     a = images.withColumn("stem", stem(F.col("path")))
-    b = masks.select(F.regexp_replace(stem(F.col("path")), f"^{prefix}", "").alias("stem"), F.struct("width", "height", "data").alias("mask"))
+    b = masks.where(stem(F.col("path")).startswith(prefix)).select(F.substr(stem(F.col("path")), F.lit(len(prefix) + 1)).alias("stem"), F.struct("width", "height", "data").alias("mask"))
     return a.join(b, "stem")
 
 
 def frames(spark: SparkSession, root: str) -> DataFrame:
     """A stream of the image files that arrive in a folder."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", "*.*").load(root)
+    return spark.readStream.format("binaryFile").load(root)
 
 
 def labelled(parts: dict[int, DataFrame]) -> DataFrame:

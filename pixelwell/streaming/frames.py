@@ -47,18 +47,49 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataF
     return stream.sparkSession.table(name)
 
 
-def carry_last(stream: DataFrame, by: str, value: str) -> DataFrame:
-    """Per key and micro-batch, the last value that isn't null so far: custom state for streams without an end."""
+def carry_last(stream: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """key, at, value: per key and micro-batch the last value, by order, that isn't null so far.
+
+    The state is that value and its place in the order (whole numbers, or microseconds of a timestamp); of equal places
+    the larger value counts, so the result depends neither on the rows' arrival nor on the micro-batches.
+    """
     kind = stream.schema[by].dataType.simpleString()
+    place = F.unix_micros(F.col(order).cast("timestamp")) if "timestamp" in stream.schema[order].dataType.simpleString() else F.col(order).cast("bigint")
 
     def step(key, batches, state):
-        last = state.get[0] if state.exists else None
+        last = tuple(state.get) if state.exists else None
         for pdf in batches:
-            seen = pdf["value"].dropna()
-            last = float(seen.iloc[-1]) if len(seen) else last
+            seen = pdf.dropna(subset=["at", "value"])
+            if len(seen):
+                at = int(seen["at"].max())
+                found = (at, float(seen.loc[seen["at"] == at, "value"].max()))
+                last = found if last is None else max(last, found)
         if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"key": [key[0]], "value": [last]})
+            state.update(last)
+            yield pd.DataFrame({"key": [key[0]], "at": [last[0]], "value": [last[1]]})
+
+    rows = stream.select(F.col(by).alias("key"), place.alias("at"), F.col(value).cast("double").alias("value"))
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, at bigint, value double", "at bigint, value double", "update", "NoTimeout")
+
 
-    rows = stream.select(F.col(by).alias("key"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, value double", "value double", "update", "NoTimeout")
+def gate_stream(stream: DataFrame, by: str, order: str, request: Column, found: Column) -> DataFrame:
+    """key, at, processed: ``gated_frames`` for a stream; the state of a key is whether its gate is open.
+
+    A key's rows of one micro-batch are sorted in memory, so the trigger's size bounds them; rows of a later micro-batch
+    count as later.  Null requests and null finds count as none.
+    """
+    kinds = [stream.schema[c].dataType.simpleString() for c in (by, order)]
+    flag = lambda c: F.coalesce(c, F.lit(False))
+
+    def step(key, batches, state):
+        is_open = bool(state.get[0]) if state.exists else False
+        rows, done = pd.concat(list(batches)).sort_values("at", kind="stable"), []
+        for asked, seen in zip(rows["asked"], rows["seen"], strict=True):
+            hit = (is_open or asked) and seen
+            is_open = (is_open or asked) and not hit
+            done.append(bool(hit))
+        state.update((bool(is_open),))
+        yield pd.DataFrame({"key": [key[0]] * len(rows), "at": rows["at"].to_numpy(), "processed": done})
+
+    rows = stream.select(F.col(by).alias("key"), F.col(order).alias("at"), flag(request).alias("asked"), flag(found).alias("seen"))
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kinds[0]}, at {kinds[1]}, processed boolean", "is_open boolean", "append", "NoTimeout")

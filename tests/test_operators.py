@@ -148,8 +148,38 @@ def test_sinks_append(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "o")).count() == 6
 
 
-def test_carry_last_in_a_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    out = frames.run_to_memory(frames.carry_last(stream, "user_id", "value"), "carried", "update")
-    assert out.count() == spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+def in_files(spark, sf, folder, parts=3):
+    """Events as a stream of several files, one for each micro-batch, earlier ids first."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    cut = e.count() // parts + 1
+    for k in range(parts):
+        e.where(f"event_id div {cut} = {k}").coalesce(1).write.mode("append").parquet(str(folder))
+    return e, spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_carry_last_in_a_stream(spark, sf, tmp_path):
+    e, stream = in_files(spark, sf, tmp_path / "in")
+    out = frames.run_to_memory(frames.carry_last(stream, "user_id", "event_id", "value"), "carried", "update")
+    got = {r.key: r.value for r in out.groupBy("key").agg(F.max_by("value", "at").alias("value")).collect()}
+    assert got == {r.user_id: r.v for r in e.where("value is not null").groupBy("user_id").agg(F.max_by("value", "event_id").alias("v")).collect()}
+
+
+def test_gate_in_a_stream(spark, sf, tmp_path):
+    e, stream = in_files(spark, sf, tmp_path / "in")
+    request, found = F.col("event_type") == "purchase", F.col("event_type").isin("view", "click")
+    out = frames.run_to_memory(frames.gate_stream(stream, "user_id", "event_id", request, found), "gated", "append")
+    want = frames.gated_frames(e, "user_id", ["event_id"], request, found)
+    got = {r["at"]: r.processed for r in out.collect()}
+    assert got == {r.event_id: r.processed for r in want.collect()} and any(got.values())
+
+
+def test_gaussian_weight(spark):
+    scheme = hog.Scheme(8, 8, cell=4, sigma=2.0)
+    df = spark.createDataFrame([(3, 6, 3.0, 4.0)], "r int, c int, gr double, gc double")
+    assert hog.weighted(df, scheme).first().m == pytest.approx(5 * math.exp(-(0.5**2 + 2.5**2) / 8))
+
+
+def test_uniform_is_uniform(spark):
+    u = [r[0] for r in spark.range(4000).select(stats.uniform(F.col("id"), 7)).collect()]
+    assert all(0 <= x <= 1 for x in u) and abs(np.mean(u) - 0.5) < 0.02 and abs(np.var(u) - 1 / 12) < 0.01
+    assert u != [r[0] for r in spark.range(4000).select(stats.uniform(F.col("id"), 8)).collect()]

@@ -72,7 +72,7 @@ def lsh_pairs(df: DataFrame, key: str, bucket: str, *also: str) -> DataFrame:
     return left.join(right, on).where("a < b").select("a", "b")
 
 
-def lsh_similarity_join(df: DataFrame, key: str, vector: str, limit: float, bucket_length: float = 2.0, tables: int = 3) -> DataFrame:
+def lsh_similarity_join(df: DataFrame, key: str, vector: str, limit: float, bucket_length: float = 2.0, tables: int = 8) -> DataFrame:
     """a, b, dist of pairs below ``limit`` found by p-stable hashing."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector

@@ -38,6 +38,8 @@ ORDER, BETA = 3, 200.0
 STRIP = 256
 #: Raw text whose n-grams, of one length, a bucket takes.
 BUCKET_BYTES = 32 << 20
+#: Raw text of a block: the larger, the fewer n-grams are sent by several blocks.
+BLOCK_BYTES = 12 << 20
 
 
 @dataclass
@@ -83,14 +85,14 @@ class BackoffAutomaton:
         p = (counts[0] + 1) / (n + v + 1)
         self.depth, self.fail, self.fail_weight = [np.zeros(1, np.int8)], [np.zeros(1, np.int64)], [np.zeros(1)]
         self.arc_weight, self.arc_state, self.seen = [], [], seen
-        first, state = 1, np.zeros(len(counts[0]), np.int64)
+        first, state = 1, np.zeros(len(counts[0]), np.int32)
         for k in range(order):
             if k:
                 context = counts[k - 1][before[k]]
                 p = (counts[k] + beta * p[shorter[k]]) / (context + beta)
             self.arc_weight.append(np.log10(p))
             # The longest counted suffix that may be a context: the n-gram itself, or the state of its last words.
-            up = state[shorter[k]] if k else np.zeros(len(p), np.int64)
+            up = state[shorter[k]] if k else np.zeros(len(p), np.int32)
             if k < order - 1:
                 own = np.flatnonzero(seen[k])
                 state = up.copy()
@@ -149,26 +151,26 @@ def strips(length: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.maximum(0, own - (order - 1)), own, np.minimum(own + STRIP, length)
 
 
-def score_block(seq: np.ndarray, length: np.ndarray, grams: list[Grams], counts: list[np.ndarray], n: int, v: int, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Known tokens, base score and score of each text of a block."""
-    order, ends = len(grams), np.cumsum(length)
-    begins = ends - length
-    before, shorter = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def score_block(length: np.ndarray, grams: list[Grams], counts: list[np.ndarray], n: int, v: int, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known tokens, base score and score of each text of a block.  Of ``grams``, only the keys of single words are used."""
+    order, tokens = len(grams), int(length.sum())
+    begins = np.cumsum(length) - length
+    before, shorter = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     end_token = int(np.searchsorted(grams[0].keys, END))
     for k in range(1, order):
         at, lower = grams[k].at, grams[k - 1].at
-        prev = np.concatenate(([-1], lower[:-1]))
+        prev = np.concatenate((np.array([-1], np.int32), lower))[:-1]
         if k == 1:
             prev[begins] = end_token
         has = at >= 0
-        first, last = np.zeros(len(grams[k].keys), np.int64), np.zeros(len(grams[k].keys), np.int64)
+        first, last = np.zeros(len(counts[k]), np.int32), np.zeros(len(counts[k]), np.int32)
         first[at[has]], last[at[has]] = prev[has], lower[has]
         before.append(first)
         shorter.append(last)
     automaton = BackoffAutomaton(counts, before, shorter, n, v, beta)
-    start = np.full(len(seq), -1, np.int64)
+    start = np.full(tokens, -1, np.int32)
     start[begins] = automaton.arc_state[0][end_token] if order > 1 else 0
-    weight = automaton.traverse([g.at for g in grams], start, *strips(len(seq), order))
+    weight = automaton.traverse([g.at for g in grams], start, *strips(tokens, order))
     add = lambda x: np.add.reduceat(x, begins) if len(begins) else np.zeros(0)
     word = grams[0].at
     return add((counts[0] > 0)[word].astype(np.int64)), add(automaton.arc_weight[0][word]), add(weight)
@@ -194,7 +196,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, order: int = ORDER, beta:
     """
     if order < 1:
         raise ValueError("order must be at least 1")
-    plan = B.layout(docs, BUCKET_BYTES // order)
+    plan = B.layout(docs, BUCKET_BYTES // order, BLOCK_BYTES)
     n = plan.buckets
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
 
@@ -241,6 +243,9 @@ def score_texts(docs: DataFrame, held_out: Column, *, order: int = ORDER, beta:
         length = head["length"].to_numpy()
         seq = B.unpack_sorted(keys)[B.unpack_ranked(at)]
         grams = grams_of(seq, _places(length), order)
+        del seq
+        for g in grams[1:]:
+            g.keys = g.keys[:0].copy()
         counts: list[list] = [[np.zeros(0)] for _ in grams]
         sizes = np.zeros(2, np.int64)
         for k, blob in replies:
@@ -249,7 +254,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, order: int = ORDER, beta:
             if not k:
                 sizes += np.frombuffer(own, np.int64)
         big_n, big_v = sizes.tolist()
-        known, base, score = score_block(seq, length, grams, list(map(np.concatenate, counts)), big_n, big_v, beta)
+        known, base, score = score_block(length, grams, list(map(np.concatenate, counts)), big_n, big_v, beta)
         return pa.table(
             [head["doc_id"], head["held_out"], pa.array(length, pa.int64()), pa.array(known, pa.int64()), pa.array([big_n] * len(length), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

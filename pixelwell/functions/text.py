@@ -47,6 +47,11 @@ def data_url(value: Column) -> Column:
     return F.struct(F.regexp_extract(value, DATA_URL, 1).alias("kind"), F.unbase64(F.regexp_extract(value, DATA_URL, 2)).alias("data"))
 
 
+def to_data_url(data: Column, kind: str = "png") -> Column:
+    """Bytes as a base64 data URL of one line (Spark's base64 breaks lines after 76 characters)."""
+    return F.concat(F.lit(f"data:image/{kind};base64,"), F.translate(F.base64(data), "\r\n", ""))
+
+
 @F.pandas_udf(StringType())
 def format_g(v: pd.Series) -> pd.Series:
     """Six significant digits as ``%g``, which JVM formatting can't express."""

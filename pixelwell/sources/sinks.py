@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelwell.functions.text import serialize_vec
+from pixelwell.functions.text import serialize_vec, to_data_url
 
 
 def descriptor_text(df: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def write_images(df: DataFrame, path: str) -> None:
 
 
 def data_urls(df: DataFrame, data: str = "data", kind: str = "png") -> DataFrame:
-    return df.withColumn("url", F.concat(F.lit(f"data:image/{kind};base64,"), F.base64(data)))
+    return df.withColumn("url", to_data_url(F.col(data), kind))
 
 
 def write_latest(stream: DataFrame, path: str, order: str, checkpoint: str):

@@ -191,3 +191,15 @@ def test_uniform_is_uniform(spark):
     u = [r[0] for r in spark.range(4000).select(stats.uniform(F.col("id"), 7)).collect()]
     assert all(0 <= x <= 1 for x in u) and abs(np.mean(u) - 0.5) < 0.02 and abs(np.var(u) - 1 / 12) < 0.01
     assert u != [r[0] for r in spark.range(4000).select(stats.uniform(F.col("id"), 8)).collect()]
+
+
+def test_data_url_of_long_and_null_values(spark, tmp_path):
+    urls = [None, "", "u" * 57, "u" * 58, "http://é.example.org/" + "x" * 500]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = rows_of(QUERIES["data_url"](spark, str(tmp_path)).toPandas())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == rows_of(con.sql(ORACLES["data_url"]).df())
+    long = spark.createDataFrame([(b"x" * 200,)], "data binary")
+    back = sinks.data_urls(long).select("url", text.data_url(F.col("url")).alias("x")).first()
+    assert back.x.kind == "png" and bytes(back.x.data) == b"x" * 200 and "\n" not in back.url

@@ -47,6 +47,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     odd = groups.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("component_id") < F.col("doc_id")).alias("later"))
     name = unused(docs, "__key")
     odd = checkpointed(odd.where("later or times > 1").select(F.col("doc_id").alias(name), "later"))
+    if odd.count() <= jaccard_pigeonhole.MAX_BROADCAST_IDS:
+        odd = F.broadcast(odd)  # else all texts are shuffled
     keyed = docs.withColumn(name, key)
     again = keyed.join(odd.where("not later").select(name), name, "left_semi").dropDuplicates([name])
     return keyed.join(odd.select(name), name, "left_anti").unionByName(again).select(*columns(docs))

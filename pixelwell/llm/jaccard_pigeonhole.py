@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelwell.llm import blocks as B
@@ -348,7 +349,26 @@ def _with_partners(shared: DataFrame) -> DataFrame:
         hits = B.checkpointed(kept.join(kept.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "key", "left_semi").select(*hits.columns))
         before, now = now, hits.count()
         hits = gathered(hits, now)
-    return gathered(hits.select("key", "fp").unionAll(twins), now)
+    return gathered(_rarest(hits, needs).unionAll(twins), now)
+
+
+def _rarest(hits: DataFrame, needs: DataFrame) -> DataFrame:
+    """key, fp of ``hits`` without the most frequent keys of each set, one less than it shares with any partner.
+
+    Keys have one order for all: by number of sets, and after all others those of groups of classes, which have no order
+    among them, so a set leaves out all of these or nothing.  The first key in this order that a set shares with a
+    partner has all their other shared keys behind it, too many to be left out with it.
+    """
+    sizes = hits.groupBy("key").agg(F.count("*").alias("sets"), F.max(F.col("fp").bitwiseAND(1)).alias("grouped"))
+    rows = hits.where("fp & 1 = 0").join(sizes, "key").join(needs, "fp").withColumn("need", F.when(F.col("odd") == 1, F.col("odd_need")).otherwise(F.col("even_need")))
+    last = W.partitionBy("fp", "odd").orderBy(F.desc("grouped"), F.desc("sets"), F.desc("key"))
+    # Sums of keys from the last in the order on; all keys of groups count together.
+    upto = F.greatest(F.sum("keys").over(last.rowsBetween(W.unboundedPreceding, 0)), F.sum(F.col("keys") * F.col("grouped")).over(W.partitionBy("fp", "odd")))
+    own = rows.withColumn("upto", upto).where("upto >= need").select("key", "fp")
+    groups = hits.where("fp & 1 = 1").select("key", "fp")
+    # Of groups, those that still have a class.
+    kept = B.checkpointed(own.unionAll(groups.join(own.select(F.col("key").alias("fp")).distinct(), "fp", "left_semi").select("key", "fp")).distinct())
+    return kept.join(kept.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "key", "left_semi").select("key", "fp")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

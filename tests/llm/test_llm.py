@@ -430,3 +430,21 @@ def test_coded_values_come_back():
     for n in (0, 1, 1_000):
         a = rng.choice(rng.integers(0, 1 << 63, 20, dtype=np.uint64), n)
         assert (blocks.unpack_coded(blocks.pack_coded(a)) == a).all()
+
+
+def test_sets_that_share_keys_with_several_others_only_are_no_family(spark):
+    from pixelwell.llm import jaccard_pigeonhole as J
+
+    # Six sets need three shared keys: each shares one with all, one with the set before and one with the next.  Two sets (100, 102) share three.
+    sets, ring = list(range(2, 14, 2)), list(range(21, 33, 2))
+    hits = [(1, fp) for fp in [*sets, 100, 102]] + [(ring[k], sets[j % 6]) for k in range(6) for j in (k, k + 1)] + [(k, fp) for k in (41, 43) for fp in (100, 102)]
+    rows = [(None, fp, fp + 1000, 50, 3, 3, None, None) for fp in [*sets, 100, 102]] + [(k, fp, None, None, None, None, 0, 1) for k, fp in hits]
+    # A group of classes of one slice (201) that shares its keys with 104 elsewhere: nothing of a needed group is left out.
+    rows += [(None, fp, fp + 1000, 50, 2, 2, None, None) for fp in (104, 106, 108)]
+    rows += [(k, fp, None, None, None, None, 0, n) for k, fp, n in [(201, 106, 2), (201, 108, 2), (201, 201, 1), (203, 201, 2), (203, 104, 2)]]
+    shared = spark.createDataFrame([(fp, *x, k, odd, n) for k, fp, *x, odd, n in rows], "fp long, fp2 long, n long, even_need int, odd_need int, key long, odd int, keys long")
+    family = {}
+    for r in J._families(J._with_partners(shared)).collect():
+        family.setdefault(r.family, set()).add(r.fp)
+    families = list(family.values())
+    assert {100, 102} in families and {104, 106, 108, 201} in families and all(len(f & set(sets)) <= 2 for f in families)

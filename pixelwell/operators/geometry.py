@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 def near_points(points: DataFrame, key: str, x: str, y: str, limit: float) -> DataFrame:
     """a, b (a < b), d2 of points whose squared distance is below ``limit``.
 
-    Points meet through grid cells as wide as the distance: an equi-join on nine cells, not a theta join.
+    Points meet through grid cells as wide as the distance: an equi-join on a cell and four of its neighbours, not a theta join.
+    The hint keeps the copies for the neighbours, which Spark's estimate leaves out, from being broadcast.
     """
     side = math.sqrt(limit)
     p = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
-    step = F.array(*map(F.lit, (-1, 0, 1)))
-    other = p.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).select(F.col("k").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    # Of two neighbours one looks for the other: its own cell, the one above and the three to the right.
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    other = p.withColumn("s", F.explode(steps)).select(F.col("k").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("same"))
     d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-    return p.join(other, ["cx", "cy"]).where(F.col("k") < F.col("b")).select(F.col("k").alias("a"), "b", d2.alias("d2")).where(F.col("d2") < limit)
+    met = p.hint("shuffle_hash").join(other, ["cx", "cy"]).where(((F.col("k") < F.col("b")) | (~F.col("same") & (F.col("k") > F.col("b")))) & (d2 < limit))
+    return met.select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b"), d2.alias("d2"))
 
 
 def polygon_area(points: DataFrame, curve: str, seq: str, x: str, y: str) -> DataFrame:

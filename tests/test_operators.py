@@ -205,6 +205,17 @@ def test_data_url_of_long_and_null_values(spark, tmp_path):
     assert back.x.kind == "png" and bytes(back.x.data) == b"x" * 200 and "\n" not in back.url
 
 
+def test_near_points_are_not_broadcast(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(s), float(y)) for i, (s, y) in enumerate(zip(rng.integers(-30, 30, 400), rng.integers(-300, 300, 400) / 10, strict=True))]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    out = QUERIES["near_points"](spark, str(tmp_path))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert rows_of(out.toPandas()) == rows_of(con.sql(ORACLES["near_points"]).df())
+
+
 def test_lsh_pairs_meet_once(spark, monkeypatch):
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector

@@ -9,20 +9,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def near_points(points: DataFrame, key: str, x: str, y: str, limit: float) -> DataFrame:
-    """a, b (a < b), d2 of points whose squared distance is below ``limit``.
+#: Keys of one position that travel together at most.
+SLICE = 256
 
-    Points meet through grid cells as wide as the distance: an equi-join on a cell and four of its neighbours, not a theta join.
-    The hint keeps the copies for the neighbours, which Spark's estimate leaves out, from being broadcast.
+
+def near_points(points: DataFrame, key: str, x: str, y: str, limit: float, digits: int | None = None) -> DataFrame:
+    """a, b (a < b), d2 (rounded to ``digits``) of points whose squared distance is below ``limit``.
+
+    Positions meet through grid cells as wide as the distance: an equi-join on a cell and four of its neighbours, not a theta join.
+    Points of one position travel as arrays of keys, so a pair is first made in the task that returns it. Each key of one
+    position meets the other's smaller keys from the first one and its larger keys from the last one: runs of one key
+    beside lists that begin alike, which a file's dictionary pages pack to a fraction.
     """
     side = math.sqrt(limit)
-    p = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    p = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    # A point that is not finite is near none.
+    p = p.where(F.col("k").isNotNull() & (F.col("x") - F.col("x") == 0) & (F.col("y") - F.col("y") == 0)).withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    # A number of its own: rows of pairs, not bytes of points, make the work, and few large partitions would be one task each.
+    p = p.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cx", "cy")
+    p = p.withColumn("slice", F.floor((F.row_number().over(W.partitionBy("cx", "cy", "x", "y").orderBy("k")) - 1) / SLICE))
+    p = p.groupBy("cx", "cy", "x", "y", "slice").agg(F.sort_array(F.collect_list("k")).alias("ks"))
     # Of two neighbours one looks for the other: its own cell, the one above and the three to the right.
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    other = p.withColumn("s", F.explode(steps)).select(F.col("k").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("same"))
-    d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-    met = p.hint("shuffle_hash").join(other, ["cx", "cy"]).where(((F.col("k") < F.col("b")) | (~F.col("same") & (F.col("k") > F.col("b")))) & (d2 < limit))
-    return met.select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b"), d2.alias("d2"))
+    other = p.withColumn("s", F.explode(steps)).select(F.col("ks").alias("bs"), F.col("x").alias("bx"), F.col("y").alias("by"), F.try_add("cx", "s.dx").alias("cx"), F.try_add("cy", "s.dy").alias("cy"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("same"))
+    dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
+    d2 = dx * dx + dy * dy
+    met = p.hint("shuffle_hash").join(other, ["cx", "cy"]).where((d2 < limit) & (~F.col("same") | (dx < 0) | ((dx == 0) & (dy <= 0))))
+    # A lambda is not compiled into the join's loop, which would hold all pairs of a position in memory; so it holds those of two arrays.
+    met = met.select("ks", F.transform("bs", lambda b: b).alias("bs"), (F.col("same") & (dx == 0) & (dy == 0)).alias("one"), (d2 if digits is None else F.round(d2, digits)).alias("d2"))
+    met = met.select(F.concat("ks", F.reverse("ks")).alias("ks"), F.size("ks").alias("n"), "one", "d2", F.explode("bs").alias("b")).select("one", "n", "d2", "b", F.posexplode("ks").alias("i", "k"))
+    met = met.where(F.when(F.col("i") < F.col("n"), F.col("k") < F.col("b")).otherwise(~F.col("one") & (F.col("k") > F.col("b"))))
+    return met.select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b"), "d2")
 
 
 def polygon_area(points: DataFrame, curve: str, seq: str, x: str, y: str) -> DataFrame:

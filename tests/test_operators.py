@@ -216,6 +216,37 @@ def test_near_points_are_not_broadcast(spark, tmp_path):
     assert rows_of(out.toPandas()) == rows_of(con.sql(ORACLES["near_points"]).df())
 
 
+def test_near_points_of_copies_pack(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    place = [(int(s), float(y)) for s, y in zip(rng.integers(0, 12, 60), rng.integers(0, 120, 60) / 10, strict=True)]
+    rows = [(i * len(place) + j, *xy) for i in range(60) for j, xy in enumerate(place)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    QUERIES["near_points"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    con.execute(f"create table got as select * from read_parquet('{tmp_path}/out/*.parquet')")
+    con.execute(f"create table want as {ORACLES['near_points']}")
+    count = lambda t: con.sql(f"select count(*) from {t}").fetchall()[0][0]
+    n = count("want")
+    assert count("got") == n and count("(from got except from want)") == count("(from want except from got)") == 0
+    taken = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert taken < 0.9 * n, "the pairs of copies take a fraction of their keys' bits"
+
+
+def test_near_points_in_slices_and_odd_places(spark, monkeypatch):
+    from pixelwell.operators import geometry
+
+    monkeypatch.setattr(geometry, "SLICE", 4, raising=False)
+    rng = np.random.default_rng(6)
+    odd = [float("nan"), float("inf"), float("-inf"), 1e300, -1e300, None, -0.0, 0.0]
+    rows = [(int(k), float(rng.integers(-4, 4)), float(rng.integers(-4, 4))) for k in rng.permutation(300)]
+    rows += [(300 + i, v, 0.0) for i, v in enumerate(odd * 2)] + [(400 + i, 1.0, v) for i, v in enumerate(odd * 2)] + [(None, 0.0, 0.0)]
+    got = geometry.near_points(spark.createDataFrame(rows, "k long, x double, y double"), "k", "x", "y", 8.0)
+    whole = [r for r in rows if None not in r]
+    want = [(a[0], b[0], d2) for a in whole for b in whole if a[0] < b[0] and (d2 := (a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2])) < 8]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_lsh_pairs_meet_once(spark, monkeypatch):
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
